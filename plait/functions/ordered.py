@@ -141,3 +141,54 @@ def rank_by(
     for n in names:
         cond = cond & F.col(n).eqNullSafe(F.col(f"__r_{n}"))
     return df.join(ranks, cond, "left").drop(*[f"__r_{n}" for n in names])
+
+
+def as_of_join(
+    probes: DataFrame,
+    versions: DataFrame,
+    group: list[str],
+    probe_time: str,
+    version_time: str,
+    tie: str,
+) -> DataFrame:
+    """For each probe the latest version of its group with time not after the probe.
+
+    Probes keep their columns and gain the version's other columns (NULL when
+    there is none); times are timestamps, ties go to the greater ``tie``.
+    Both sides are laid out on one time line, cut into chunks of similar size.
+    """
+    rest = [c for c in versions.columns if c not in group]
+    own = [c for c in probes.columns if c not in group]
+    payload = F.struct(*rest)
+
+    def micros(col: str) -> Column:
+        return F.unix_micros(F.col(col).cast("timestamp"))
+
+    v = versions.select(
+        *group, micros(version_time).alias("__t"), F.lit(0).alias("__kind"),
+        F.col(tie).cast("string").alias("__tie"), payload.alias("__v"),
+    )
+    p = probes.select(
+        *group, micros(probe_time).alias("__t"), F.lit(1).alias("__kind"),
+        F.lit(None).cast("string").alias("__tie"), F.struct(*own).alias("__p"),
+    )
+    line = _chunked(v.unionByName(p, allowMissingColumns=True), "__t", None)
+    local = (
+        Window.partitionBy(*group, _CHUNK)
+        .orderBy("__t", "__kind", "__tie")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    rows = line.withColumn("__here", F.last("__v", ignorenulls=True).over(local)).where("__kind = 1")
+    last = line.where("__kind = 0").groupBy(*group, _CHUNK).agg(
+        F.max_by("__v", F.struct("__t", "__tie")).alias("__last")
+    )
+    # A probe's chunk may hold no version of its group: number all chunks seen.
+    chunks = line.groupBy(*group, _CHUNK).agg(F.lit(1).alias("__one")).drop("__one")
+    before = (
+        Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = _attach(chunks, last, group).select(
+        *group, _CHUNK, F.last("__last", ignorenulls=True).over(before).alias("__carry")
+    )
+    found = _attach(rows, carry, group).withColumn("__found", F.coalesce("__here", "__carry"))
+    return found.select(*group, "__p.*", "__found.*")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["versions"]
+MODULES = ["versions", "reading", "updating", "history"]
 
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
