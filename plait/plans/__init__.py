@@ -13,7 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["versions", "reading", "updating", "history"]
+MODULES = [
+    "versions",
+    "reading",
+    "updating",
+    "history",
+    "governance",
+    "searching",
+    "feeds",
+]
 
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
