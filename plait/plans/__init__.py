@@ -24,11 +24,44 @@ MODULES = [
 ]
 
 
+# Result columns that hold exact decimals; handed out as doubles on both sides.
+DECIMALS = {
+    "o_totalprice": "d1 d2 d3 m5 m6_merge2 m7_merge_detect_abort m8 s5 t7_find t7_merge t10 t11",
+    "new_price": "m10",
+    "balance": "t7_table c11_replay c11_undo_last r8",
+    "after": "c10 d12",
+    "before": "d12",
+}
+_COUNTS_ONLY = ("m6_merge2_dry_run", "t10_cherry_pick_counts", "c11_undo_last_log")
+
+
+def _decimal_columns(name: str) -> list[str]:
+    if name in _COUNTS_ONLY:
+        return []
+    parts = {c: tuple(f"{p}_" if p[-1].isdigit() and "_" not in p else p for p in starts.split())
+             for c, starts in DECIMALS.items()}
+    return [c for c, starts in parts.items() if name.startswith(starts)]
+
+
+def _doubles(query: Query, columns: list[str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.withColumns({c: df[c].cast("double") for c in columns})
+
+    return run
+
+
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
+    """All queries and their SQL twins by name."""
     queries: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for name in MODULES:
-        module = import_module(f"{__name__}.{name}")
-        queries.update(module.QUERIES)
-        sql.update(module.SQL)
+    for module_name in MODULES:
+        module = import_module(f"{__name__}.{module_name}")
+        for name, query in module.QUERIES.items():
+            columns = _decimal_columns(name)
+            queries[name] = _doubles(query, columns) if columns else query
+            text = module.SQL.get(name)
+            if text is not None:
+                casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+                sql[name] = f"SELECT * REPLACE ({casts}) FROM ({text})" if columns else text
     return queries, sql
