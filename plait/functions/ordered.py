@@ -1,8 +1,9 @@
 """Ordered computations that stay parallel when one group holds most rows.
 
 A plain window puts a whole group into one task. Here the order is first cut
-into chunks of similar size; each (group, chunk) is windowed on its own, and a
-small per-chunk summary carries the missing part across chunk borders.
+into chunks of similar size and each (group, chunk) is windowed on its own. What
+a chunk needs from the ones before it comes from a small per-chunk summary and
+joins the window as one extra row in front, so the data are shuffled once.
 """
 
 from __future__ import annotations
@@ -40,15 +41,17 @@ def _chunked(df: DataFrame, order: str, chunk: Column | None) -> DataFrame:
     return df.withColumn(_CHUNK, chunk)
 
 
-def _attach(rows: DataFrame, side: DataFrame, group: list[str]) -> DataFrame:
-    names = [*group, _CHUNK]
-    renamed = side
-    for n in names:
-        renamed = renamed.withColumnRenamed(n, f"__k_{n}")
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & F.col(n).eqNullSafe(F.col(f"__k_{n}"))
-    return rows.join(renamed, cond, "left").drop(*[f"__k_{n}" for n in names])
+def _by_chunk(group: list[str], descending: bool = False) -> Window:
+    """Order chunk summaries; at most one row per chunk and group."""
+    key = F.desc(_CHUNK) if descending else F.asc(_CHUNK)
+    return Window.partitionBy(*(group or [F.lit(0)])).orderBy(key)
+
+
+def _fronted(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows marked real, with one carry row per (group, chunk) marked not real."""
+    return rows.withColumn("__real", F.lit(1)).unionByName(
+        carry.withColumn("__real", F.lit(0)), allowMissingColumns=True
+    )
 
 
 def previous_value(
@@ -65,21 +68,11 @@ def previous_value(
     ``floor(seq / 1e6)``; by default cut points are taken from quantiles.
     """
     cut = _chunked(df, order, chunk).withColumn("__v", F.struct(value.alias("v")))
-    local = Window.partitionBy(*group, _CHUNK).orderBy(order)
-    rows = cut.withColumn("__prev", F.lag("__v").over(local))
     last = cut.groupBy(*group, _CHUNK).agg(F.max_by("__v", F.col(order)).alias("__last"))
-    carry = last.select(
-        *group, _CHUNK, F.lag("__last").over(_by_chunk(group)).alias("__carry")
-    )
-    out = _attach(rows, carry, group)
-    return out.withColumn(name, F.coalesce("__prev", "__carry")["v"]).drop(
-        "__v", "__prev", "__carry", _CHUNK
-    )
-
-
-def _by_chunk(group: list[str]) -> Window:
-    """Order chunk summaries; at most one row per chunk and group."""
-    return Window.partitionBy(*(group or [F.lit(0)])).orderBy(_CHUNK)
+    carry = last.select(*group, _CHUNK, F.lag("__last").over(_by_chunk(group)).alias("__v"))
+    local = Window.partitionBy(*group, _CHUNK).orderBy("__real", order)
+    out = _fronted(cut, carry).withColumn("__prev", F.lag("__v").over(local)).where("__real = 1")
+    return out.withColumn(name, F.col("__prev.v")).drop("__v", "__prev", "__real", _CHUNK)
 
 
 def position(
@@ -92,21 +85,19 @@ def position(
 ) -> DataFrame:
     """Zero-based position per group along a unique numeric ``order`` column."""
     cut = _chunked(df, order, chunk)
-    key = F.desc(order) if descending else F.asc(order)
-    local = Window.partitionBy(*group, _CHUNK).orderBy(key)
-    rows = cut.withColumn("__rn", F.row_number().over(local))
     sizes = cut.groupBy(*group, _CHUNK).agg(F.count("*").alias("__n"))
-    chunk_key = F.desc(_CHUNK) if descending else F.asc(_CHUNK)
-    before = (
-        Window.partitionBy(*(group or [F.lit(0)]))
-        .orderBy(chunk_key)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(
+    before = _by_chunk(group, descending).rowsBetween(Window.unboundedPreceding, -1)
+    carry = sizes.select(
         *group, _CHUNK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
     )
-    out = _attach(rows, offsets, group)
-    return out.withColumn(name, F.col("__rn") - 1 + F.col("__off")).drop("__rn", "__off", _CHUNK)
+    key = F.desc(order) if descending else F.asc(order)
+    local = Window.partitionBy(*group, _CHUNK).orderBy("__real", key)
+    rows = _fronted(cut, carry)
+    # The carry row is number 1, so the first real row is number 2.
+    place = F.row_number().over(local) - 2 + F.first("__off").over(local)
+    return (
+        rows.withColumn(name, place).where("__real = 1").drop("__off", "__real", _CHUNK)
+    )
 
 
 def rank_by(
@@ -119,23 +110,22 @@ def rank_by(
     """
     counts = df.groupBy(*group, order).agg(F.count("*").alias("__n"))
     cut = _chunked(counts, order, None)
-    key = F.desc(order) if descending else F.asc(order)
-    chunk_key = F.desc(_CHUNK) if descending else F.asc(_CHUNK)
-    earlier = (Window.unboundedPreceding, -1)
-    local = Window.partitionBy(*group, _CHUNK).orderBy(key).rowsBetween(*earlier)
-    rows = cut.withColumn("__local", F.coalesce(F.sum("__n").over(local), F.lit(0)))
-    across = Window.partitionBy(*(group or [F.lit(0)])).orderBy(chunk_key).rowsBetween(*earlier)
-    offsets = (
+    before = _by_chunk(group, descending).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
         cut.groupBy(*group, _CHUNK)
         .agg(F.sum("__n").alias("__size"))
-        .select(
-            *group, _CHUNK, F.coalesce(F.sum("__size").over(across), F.lit(0)).alias("__off")
-        )
+        .select(*group, _CHUNK, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__n"))
+    )
+    key = F.desc(order) if descending else F.asc(order)
+    earlier = (
+        Window.partitionBy(*group, _CHUNK)
+        .orderBy("__real", key)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    placed = _fronted(cut, carry).withColumn(name, F.sum("__n").over(earlier) + 1)
     names = [*group, order]
-    ranks = _attach(rows, offsets, group).select(
-        *[F.col(n).alias(f"__r_{n}") for n in names],
-        (F.col("__local") + F.col("__off") + 1).alias(name),
+    ranks = placed.where("__real = 1").select(
+        *[F.col(n).alias(f"__r_{n}") for n in names], name
     )
     cond = F.lit(True)
     for n in names:
@@ -159,36 +149,31 @@ def as_of_join(
     """
     rest = [c for c in versions.columns if c not in group]
     own = [c for c in probes.columns if c not in group]
-    payload = F.struct(*rest)
 
     def micros(col: str) -> Column:
         return F.unix_micros(F.col(col).cast("timestamp"))
 
     v = versions.select(
-        *group, micros(version_time).alias("__t"), F.lit(0).alias("__kind"),
-        F.col(tie).cast("string").alias("__tie"), payload.alias("__v"),
+        *group,
+        micros(version_time).alias("__t"),
+        F.lit(0).alias("__kind"),
+        F.col(tie).cast("string").alias("__tie"),
+        F.struct(*rest).alias("__v"),
     )
     p = probes.select(
-        *group, micros(probe_time).alias("__t"), F.lit(1).alias("__kind"),
-        F.lit(None).cast("string").alias("__tie"), F.struct(*own).alias("__p"),
+        *group, micros(probe_time).alias("__t"), F.lit(1).alias("__kind"), F.struct(*own).alias("__p")
     )
     line = _chunked(v.unionByName(p, allowMissingColumns=True), "__t", None)
+    newest = F.when(F.col("__kind") == 0, F.struct("__t", "__tie"))
+    last = line.groupBy(*group, _CHUNK).agg(F.max_by("__v", newest).alias("__last"))
+    before = _by_chunk(group).rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(
+        *group, _CHUNK, F.last("__last", ignorenulls=True).over(before).alias("__v")
+    )
     local = (
         Window.partitionBy(*group, _CHUNK)
-        .orderBy("__t", "__kind", "__tie")
+        .orderBy("__real", "__t", "__kind", "__tie")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    rows = line.withColumn("__here", F.last("__v", ignorenulls=True).over(local)).where("__kind = 1")
-    last = line.where("__kind = 0").groupBy(*group, _CHUNK).agg(
-        F.max_by("__v", F.struct("__t", "__tie")).alias("__last")
-    )
-    # A probe's chunk may hold no version of its group: number all chunks seen.
-    chunks = line.groupBy(*group, _CHUNK).agg(F.lit(1).alias("__one")).drop("__one")
-    before = (
-        Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = _attach(chunks, last, group).select(
-        *group, _CHUNK, F.last("__last", ignorenulls=True).over(before).alias("__carry")
-    )
-    found = _attach(rows, carry, group).withColumn("__found", F.coalesce("__here", "__carry"))
-    return found.select(*group, "__p.*", "__found.*")
+    found = _fronted(line, carry).withColumn("__f", F.last("__v", ignorenulls=True).over(local))
+    return found.where("__kind = 1").select(*group, "__p.*", "__f.*")

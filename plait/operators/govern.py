@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.text import glob_match
+from .keys import small
 
 # --- rules that match branch names --------------------------------------------------
 
@@ -29,7 +30,7 @@ def match_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
             )
         ).alias("prefix"),
     )
-    hits = starts.join(keyed, "prefix").where(glob_match(F.col("name"), F.col("rule.pattern")))
+    hits = starts.join(small(keyed), "prefix").where(glob_match(F.col("name"), F.col("rule.pattern")))
     order = F.struct("rule.created_at", "rule.pattern")
     return hits.groupBy("name").agg(F.min_by("rule", order).alias("rule"))
 
@@ -78,14 +79,14 @@ def check_permission(requests: DataFrame, scopes: DataFrame) -> DataFrame:
     ``scopes`` has one row per agent: ``agent, permissions, allowed_tables,
     denied``; an agent without one is unrestricted.
     """
-    own = scopes.select("agent", "permissions", "allowed_tables", "denied")
+    own = small(scopes.select("agent", "permissions", "allowed_tables", "denied"))
     joined = requests.join(own, "agent", "left").withColumn("reason", _scope_reason())
     return joined.select(*requests.columns, F.col("reason").isNull().alias("allowed"), "reason")
 
 
 def check_quota(counts: DataFrame, scopes: DataFrame) -> DataFrame:
     """Whether an agent ``agent, branches`` may create another branch; 0 or NULL is unlimited."""
-    joined = counts.join(scopes.select("agent", "max_branches"), "agent", "left")
+    joined = counts.join(small(scopes.select("agent", "max_branches")), "agent", "left")
     limit = F.col("max_branches")
     full = F.coalesce((limit > 0) & (F.col("branches") >= limit), F.lit(False))
     reason = F.concat(

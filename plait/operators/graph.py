@@ -58,7 +58,7 @@ def commit_log(commits: DataFrame, heads: DataFrame, limit: int | None = 50) ->
 
 
 def ancestors(
-    commits: DataFrame, heads: DataFrame, max_depth: int | None = None, hops: int = 16
+    commits: DataFrame, heads: DataFrame, max_depth: int | None = None, hops: int = 8
 ) -> DataFrame:
     """All ancestors of each head: ``head, hash, depth``; safe on cycles.
 
@@ -107,7 +107,7 @@ def ancestors(
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
-def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 16) -> DataFrame:
+def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 8) -> DataFrame:
     """Merge base of each pair ``a, b`` of commits: ``a, b, base, depth``.
 
     The base is the common ancestor (a head counts as its own) nearest to ``b``;

@@ -10,6 +10,7 @@ from ..functions.canonical import as_text, comparable
 from ..functions.ordered import as_of_join
 from . import changes
 from .diff import ADDED, MODIFIED, REMOVED, differs
+from .keys import small
 from .merge import align
 
 # How long each kind of record is kept.
@@ -108,14 +109,19 @@ def revert_message(message: str, commit_hash: str) -> str:
 
 
 def blame(
-    versions: DataFrame, chain: DataFrame, keys: list[str], branch: str
+    versions: DataFrame,
+    chain: DataFrame,
+    keys: list[str],
+    branch: str,
+    held: list[int] | None = None,
 ) -> DataFrame:
     """Who set each field of each row, for all keys at once.
 
     ``versions`` holds the rows of every commit of a first-parent chain with the
     commit's ``pos`` (0 = newest); ``chain`` has ``pos, hash, branch, author, ts``
-    for all of the chain, commits without the table included. Result: keys,
-    ``field, value, pos, hash, author, ts``, newest first by ``pos``.
+    for all of the chain, commits without the table included; ``held`` lists the
+    positions that have the table, if known. Result: keys, ``field, value, pos,
+    hash, author, ts``, newest first by ``pos``.
 
     A key has at most one row per commit, so its window is as long as the chain.
     """
@@ -123,15 +129,18 @@ def blame(
         f.name: f.dataType for f in versions.schema.fields if f.name not in (*keys, "pos")
     }
     # Commits that hold the table, numbered without gaps.
-    held = versions.select("pos").distinct()
+    if held is None:
+        own = chain.join(versions.select("pos").distinct(), "pos", "left_semi")
+    else:
+        own = chain.where(F.col("pos").isin(*held))
     order = Window.partitionBy(F.lit(0)).orderBy("pos")
-    numbered = held.join(chain.select("pos", "branch"), "pos").select(
+    numbered = own.select(
         "pos",
         F.row_number().over(order).alias("__t"),
         (F.lag("pos", -1).over(order) - 1).alias("__credit"),
         (F.col("branch") == branch).alias("__own"),
     )
-    rows = versions.join(numbered, "pos")
+    rows = versions.join(small(numbered), "pos")
     by_key = Window.partitionBy(*keys)
     newest_first = by_key.orderBy("__t")
     marked = rows.withColumn("__rn", F.row_number().over(newest_first)).withColumn(
@@ -172,7 +181,7 @@ def blame(
         )
     found = marked.select(*keys, F.inline(F.array_compact(F.array(*entries))))
     info = chain.select(F.col("pos").cast("int").alias("pos"), "hash", "author", "ts")
-    return found.join(info, "pos").select(*keys, "field", "value", "pos", "hash", "author", "ts")
+    return found.join(small(info), "pos").select(*keys, "field", "value", "pos", "hash", "author", "ts")
 
 
 def stack_versions(versions: list[tuple[int, DataFrame]]) -> DataFrame:

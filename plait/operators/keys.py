@@ -58,3 +58,12 @@ def row_struct(df: DataFrame, types: dict[str, T.DataType]) -> Column:
             col = as_text(F.col(name), own[name])
         fields.append(col.alias(name))
     return F.struct(*fields)
+
+
+def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark ``df`` for broadcast if it really has at most ``max_rows`` rows.
+
+    For rule and metadata tables of narrow rows; a larger one is joined by
+    shuffle, where adaptive execution splits hot keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import cosine
+from ..session import written
 
 # Usual constants of the ranking formulas.
 RANK_CONSTANT = 60
@@ -28,11 +29,11 @@ def vector_topk(
 
 def words(text: Column) -> Column:
     """Lower-case words of a text; anything but letters and digits separates."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _occurrences(array: str, term: str) -> Column:
-    return F.size(F.filter(array, lambda w: w == term))
+    return F.size(array) - F.size(F.array_remove(array, term))
 
 
 def text_search(
@@ -40,15 +41,19 @@ def text_search(
 ) -> DataFrame:
     """Rows with any of the terms in any of the fields, ranked by BM25: ``id, score``.
 
-    Two passes over the text: one reduces term statistics to a single row, the
-    other scores. Only counts leave the scan, so a common term moves no rows.
+    The text is read and split once: word counts per row are written to the
+    shared folder as a narrow table, from which both the corpus statistics and
+    the scores are computed without any shuffle of rows.
     """
     terms = [t.lower() for t in terms]
     tokens = words(F.concat_ws(" ", *fields))
-    counted = df.select(id_column, tokens.alias("w")).select(
-        id_column,
-        F.size("w").alias("n"),
-        *[_occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(terms)],
+    counted = written(
+        df.select(id_column, tokens.alias("w")).select(
+            id_column,
+            F.size("w").alias("n"),
+            *[_occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(terms)],
+        ),
+        "words",
     )
     stats = counted.agg(
         F.count("*").alias("rows"),

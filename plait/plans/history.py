@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ordered import previous_value
 from ..operators import changes, graph as g, history as h, merge as m, query as q
+from ..session import written
 from .reading import _BRANCHES, _HISTORY, branch_records, history_rows
 from .tables import KEYS, MONEY, ORDER_COLUMNS, table
 from .updating import ACCOUNT, LOG, account_log
@@ -195,18 +196,17 @@ def t6(spark, sf):
 
 @query(
     "j6_as_of",
-    f"""WITH {GRAPH}, probes AS (SELECT l_orderkey, l_partkey, l_linenumber, 'b' || l_partkey AS branch, l_shipdate AS "at" FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_shipdate FROM lineitem)),
-        hits AS (SELECT p.*, c.hash, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_linenumber, p."at" ORDER BY c.ts DESC, c.hash DESC) AS rn
-                 FROM probes p LEFT JOIN commits c ON c.branch = p.branch AND c.ts <= p."at")
-        SELECT l_orderkey, l_partkey, l_linenumber, branch, "at", hash FROM hits WHERE rn = 1""",
+    f"""WITH {GRAPH}, probes AS (SELECT l_orderkey, l_partkey, l_linenumber, 'b' || l_partkey AS branch, l_shipdate AS "at" FROM lineitem),
+        latest AS (SELECT branch, ts, max(hash) AS hash FROM commits GROUP BY branch, ts)
+        SELECT p.*, c.hash FROM probes p ASOF LEFT JOIN latest c ON p.branch = c.branch AND p."at" >= c.ts""",
 )
 def j6(spark, sf):
     probes = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", _id("b", "l_partkey").alias("branch"),
         F.col("l_shipdate").alias("at"),
     )
-    return h.resolve_as_of(commit_graph(spark, sf), probes.distinct()).drop("ts")
-
+    graph = written(commit_graph(spark, sf), "graph")
+    return h.resolve_as_of(graph, probes).drop("ts")
 
 
 @query(
@@ -321,7 +321,8 @@ def t9(spark, sf):
         [(pos, x, branch, author, ts) for x, branch, author, ts, pos in HISTORY],
         "pos int, hash string, branch string, author string, ts string",
     )
-    return h.blame(stacked, chain, KEYS, "dev").drop("pos", "ts")
+    held = [pos for _, _, _, _, pos in HISTORY]
+    return h.blame(stacked, chain, KEYS, "dev", held).drop("pos", "ts")
 
 
 _CHERRY = """SELECT coalesce(t.o_orderkey, n.o_orderkey) AS o_orderkey, {cols}
