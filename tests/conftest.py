@@ -12,6 +12,7 @@ from plait.session import local_session  # noqa: E402
 def spark():
     session = local_session("8", "plait-tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 
@@ -19,3 +20,8 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+def rows(df):
+    """All rows as sorted tuples; NULLs first."""
+    return sorted((tuple(r) for r in df.collect()), key=lambda t: [(v is not None, str(v)) for v in t])

@@ -8,7 +8,7 @@ from plait.sources.store import Store
 def store(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield from _store(spark, tmp_path)
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def _store(spark, tmp_path):
