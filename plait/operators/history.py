@@ -113,32 +113,44 @@ def blame(
     chain: DataFrame,
     keys: list[str],
     branch: str,
-    held: list[int] | None = None,
+    spans: list[tuple[int, int, int | None]] | None = None,
 ) -> DataFrame:
     """Who set each field of each row, for all keys at once.
 
-    ``versions`` holds the rows of every commit of a first-parent chain with the
+    ``versions`` holds the rows of the table along a first-parent chain with the
     commit's ``pos`` (0 = newest); ``chain`` has ``pos, hash, branch, author, ts``
-    for all of the chain, commits without the table included; ``held`` lists the
-    positions that have the table, if known. Result: keys, ``field, value, pos,
-    hash, author, ts``, newest first by ``pos``.
+    for all of the chain, commits without the table included. Result: keys,
+    ``field, value, pos, hash, author, ts``, newest first by ``pos``.
 
-    A key has at most one row per commit, so its window is as long as the chain.
+    Successive commits that share one snapshot of the table need only one
+    version: ``spans`` lists (newest, oldest, oldest on ``branch`` or None)
+    positions per version, ``pos`` being the newest. Without it every position
+    found in ``versions`` stands for itself.
+
+    A key has at most one row per version, so its window is as long as the chain.
     """
     fields = {
         f.name: f.dataType for f in versions.schema.fields if f.name not in (*keys, "pos")
     }
-    # Commits that hold the table, numbered without gaps.
-    if held is None:
-        own = chain.join(versions.select("pos").distinct(), "pos", "left_semi")
+    # Versions of the table, numbered without gaps.
+    if spans is None:
+        held = chain.join(versions.select("pos").distinct(), "pos", "left_semi")
+        held = held.select(
+            "pos",
+            F.col("pos").alias("__oldest"),
+            F.when(F.col("branch") == branch, F.col("pos")).alias("__own"),
+        )
     else:
-        own = chain.where(F.col("pos").isin(*held))
+        held = versions.sparkSession.createDataFrame(
+            spans, "pos int, __oldest int, __own int"
+        )
     order = Window.partitionBy(F.lit(0)).orderBy("pos")
-    numbered = own.select(
+    numbered = held.select(
         "pos",
         F.row_number().over(order).alias("__t"),
-        (F.lag("pos", -1).over(order) - 1).alias("__credit"),
-        (F.col("branch") == branch).alias("__own"),
+        (F.lead("pos").over(order) - 1).alias("__credit"),
+        "__oldest",
+        "__own",
     )
     rows = versions.join(small(numbered), "pos")
     by_key = Window.partitionBy(*keys)
@@ -162,7 +174,7 @@ def blame(
     }
     for i, flag in enumerate(flags.values()):
         marked = marked.withColumn(f"__c{i}", flag)
-    created = F.coalesce(F.max(F.when(F.col("__own"), F.col("pos"))).over(by_key), F.max("pos").over(by_key))
+    created = F.coalesce(F.max("__own").over(by_key), F.max("__oldest").over(by_key))
     marked = marked.withColumn("__created", created).withColumn("__last", last)
     for i in range(len(fields)):
         marked = marked.withColumn(f"__any{i}", F.max(f"__c{i}").over(by_key))

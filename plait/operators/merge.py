@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from ..functions.canonical import as_text, comparable, struct_text
 from .diff import diff_rows, differs
@@ -24,6 +24,8 @@ FIELD_CONFLICT = "field_conflict"
 # Fixed value: the pseudo-field that reports a delete/modify conflict.
 DELETED_FIELD = "_deleted"
 
+COUNTS = ("rows_added", "rows_removed", "rows_modified", "conflict_count")
+
 STRATEGIES = ("manual", "abort", "ours", "theirs")
 
 
@@ -182,6 +184,26 @@ def merge_counts(
     return total.withColumn("success", success).withColumn("dry_run", F.lit(dry_run))
 
 
+def observed(plan: MergePlan) -> tuple[MergePlan, Observation]:
+    """The plan with counts that become known while its rows are computed.
+
+    A write of :func:`merged_rows` then yields the counts of :func:`merge_counts`
+    for one table without a second pass.
+    """
+    watch = Observation()
+    out = F.col("outcome")
+    size = F.when(F.col("conflicts").isNotNull(), F.size("conflicts")).otherwise(0)
+    rows = plan.rows.observe(
+        watch,
+        F.count_if(out == ADD).alias("rows_added"),
+        F.count_if(out == DELETE).alias("rows_removed"),
+        F.count_if(out == MODIFY).alias("rows_modified"),
+        F.count_if(out == THEIRS_DELETED).alias("theirs_deleted"),
+        F.coalesce(F.sum(size), F.lit(0)).alias("conflict_count"),
+    )
+    return MergePlan(rows, plan.keys, plan.types), watch
+
+
 def merged_rows(
     plan: MergePlan, strategy: str = "ours", keep_clean_fields: bool = False
 ) -> DataFrame:

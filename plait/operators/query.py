@@ -53,12 +53,22 @@ def top_groups(df: DataFrame, by: list[str], limit: int) -> DataFrame:
     return counts.orderBy(F.desc("rows"), *by).limit(limit)
 
 
-def lookup(left: DataFrame, right: DataFrame, left_on: str, right_on: str, name: str) -> DataFrame:
+def lookup(
+    left: DataFrame,
+    right: DataFrame,
+    left_on: str,
+    right_on: str,
+    name: str,
+    max_matches: int = 100_000,
+) -> DataFrame:
     """Left outer join with the matches as an array column.
 
-    An array is one value of one row, so use this for keys with few matches
-    each and :func:`lookup_rows` where a key may match many rows.
+    An array is one value of one row. A key with more than ``max_matches``
+    matches raises; :func:`lookup_rows` gives the same matches as rows.
     """
+    sizes = right.groupBy(right_on).agg(F.count("*").alias("n"))
+    if not sizes.where(F.col("n") > max_matches).isEmpty():
+        raise ValueError("a key has too many matches for an array, use lookup_rows")
     matches = right.groupBy(F.col(right_on).alias("__k")).agg(
         F.collect_list(F.struct(*right.columns)).alias(name)
     )

@@ -21,12 +21,13 @@ MODULES = [
     "governance",
     "searching",
     "feeds",
+    "storing",
 ]
 
 
 # Result columns that hold exact decimals; handed out as doubles on both sides.
 DECIMALS = {
-    "o_totalprice": "d1 d2 d3 m5 m6_merge2 m7_merge_detect_abort m8 s5 t7_find t7_merge t10 t11",
+    "o_totalprice": "d1 d2 d3 m5_merge3 m6_merge2 m7_merge_detect_abort m8 s5 t7_find t7_merge t10 t11",
     "new_price": "m10",
     "balance": "t7_table c11_replay c11_undo_last r8",
     "after": "c10 d12",

@@ -8,7 +8,7 @@ from ..functions.ordered import previous_value
 from ..operators import changes, graph as g, history as h, merge as m, query as q
 from ..session import written
 from .reading import _BRANCHES, _HISTORY, branch_records, history_rows
-from .tables import KEYS, MONEY, ORDER_COLUMNS, table
+from .tables import CHUNK_ROWS, KEYS, MONEY, ORDER_COLUMNS, table
 from .updating import ACCOUNT, LOG, account_log
 
 QUERIES: dict = {}
@@ -68,7 +68,8 @@ def commit_graph(spark, sf) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"
     )
-    chained = previous_value(orders, ["o_custkey"], "o_orderkey", F.col("o_orderkey"), "prev")
+    chunk = F.floor(F.col("o_orderkey") / CHUNK_ROWS)
+    chained = previous_value(orders, ["o_custkey"], "o_orderkey", F.col("o_orderkey"), "prev", chunk)
     linked = chained.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     first = F.coalesce(_id("O", "prev"), _id("C", "o_custkey"))
     parents = F.when(
@@ -321,8 +322,8 @@ def t9(spark, sf):
         [(pos, x, branch, author, ts) for x, branch, author, ts, pos in HISTORY],
         "pos int, hash string, branch string, author string, ts string",
     )
-    held = [pos for _, _, _, _, pos in HISTORY]
-    return h.blame(stacked, chain, KEYS, "dev", held).drop("pos", "ts")
+    spans = [(pos, pos, pos if branch == "dev" else None) for _, branch, _, _, pos in HISTORY]
+    return h.blame(stacked, chain, KEYS, "dev", spans).drop("pos", "ts")
 
 
 _CHERRY = """SELECT coalesce(t.o_orderkey, n.o_orderkey) AS o_orderkey, {cols}

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MONEY = "decimal(18,2)"
 
+# Dense ids are cut into chunks of this many rows; sparse ones by quantiles.
+CHUNK_ROWS = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

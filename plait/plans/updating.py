@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import updates as u
 from ..functions.ordered import previous_value
 from ..operators import changes as c, diff as d
-from .tables import table
+from .tables import CHUNK_ROWS, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -253,7 +253,8 @@ def account_log(spark, sf) -> DataFrame:
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("performed_by"),
         F.when(F.col("event_type") != "error", F.struct(balance.alias("balance"))).alias("after"),
     )
-    paired = previous_value(images, ACCOUNT, "seq", F.col("after"), "before")
+    chunk = F.floor(F.col("seq") / CHUNK_ROWS)
+    paired = previous_value(images, ACCOUNT, "seq", F.col("after"), "before", chunk)
     op = (
         F.when(F.col("before").isNull(), c.INSERT)
         .when(F.col("after").isNull(), c.DELETE)

@@ -376,21 +376,24 @@ class Store:
     def blame(self, name: str, table: str) -> DataFrame:
         """Who set each field of each row of a table, from its commit history."""
         chain = self.log(name, None).select("pos", "hash", "branch", "author", "ts", "snapshot")
-        rows = chain.collect()
-        versions, keys = [], None
-        for r in rows:
+        versions, spans, keys, last = [], [], None, None
+        for r in chain.collect():
             entry = _entries(r["snapshot"]).get(table)
-            if entry is not None:
-                keys = keys or entry.keys
+            if entry is None:
+                continue
+            own = r["pos"] if r["branch"] == name else None
+            keys = keys or entry.keys
+            if last is not None and _same(entry, last):
+                newest, _, before = spans[-1]
+                spans[-1] = (newest, r["pos"], own if own is not None else before)
+            else:
                 versions.append((r["pos"], self._load(entry)))
+                spans.append((r["pos"], r["pos"], own))
+            last = entry
         if not versions:
             raise KeyError(f'no commit of "{name}" holds table "{table}"')
         return history.blame(
-            history.stack_versions(versions),
-            chain.drop("snapshot"),
-            keys,
-            name,
-            [pos for pos, _ in versions],
+            history.stack_versions(versions), chain.drop("snapshot"), keys, name, spans
         )
 
     # --- diff, merge, cherry-pick -------------------------------------------------------------
@@ -457,22 +460,34 @@ class Store:
         base = _entries(self._commit_row(ancestor)["snapshot"])
         plans = self._plans(base, ours, theirs)
         result: dict = {"base": ancestor, "success": True, "tables": sorted(plans), "conflicts": None}
-        if plans:
-            counts = mg.merge_counts(plans, strategy, dry_run).collect()[0].asDict()
-            result.update(counts)
-            if counts["conflict_count"]:
-                result["conflicts"] = {n: mg.conflicts(p) for n, p in plans.items()}
-        if not result["success"] or dry_run:
+        conflicts = {n: mg.conflicts(p) for n, p in plans.items()}
+        if dry_run:
+            if plans:
+                result.update(mg.merge_counts(plans, strategy, dry_run).collect()[0].asDict())
+                result["conflicts"] = conflicts if result["conflict_count"] else None
             return result
         for n, plan in plans.items():
             allowed, reason = mg.merge_gate(plan.rows, gate or [])
             if not allowed:
                 return {**result, "success": False, "reason": reason, "table": n}
-        merged = dict(ours)
+        # One pass per table: the write also counts. Nothing refers to the new
+        # folders until the merge is known to succeed.
+        merged, total, touched = {}, dict.fromkeys(mg.COUNTS, 0), 0
         for n, plan in plans.items():
-            rows = mg.merged_rows(plan, strategy, keep_clean_fields)
+            watched, watch = mg.observed(plan)
+            rows = mg.merged_rows(watched, strategy, keep_clean_fields)
             merged[n] = self._snapshot(n, rows, plan.keys)
-        result["commit"] = self._finish(src, tgt, merged, author, message)
+            counts = watch.get
+            total = {c: total[c] + counts[c] for c in mg.COUNTS}
+            clean = sum(counts[c] for c in mg.COUNTS) - counts["conflict_count"]
+            touched += clean + counts["theirs_deleted"] > 0
+        gated = strategy in ("manual", "abort") and total["conflict_count"] > 0
+        result.update(total, tables_affected=touched, success=not gated)
+        result["conflicts"] = conflicts if total["conflict_count"] else None
+        if gated:
+            self._delete([e.path for e in merged.values()])
+            return result
+        result["commit"] = self._finish(src, tgt, {**ours, **merged}, author, message)
         return result
 
     def _finish(self, src, tgt, tables, author, message) -> str:
@@ -644,12 +659,16 @@ class Store:
             )
             self._save(gone, "remove")
         folders = [r["path"] for r in self.garbage().toLocalIterator()]
+        self._delete(folders)
+        for folder in folders:
+            self._publish("cleaned", uuid.uuid4().hex, (folder, _now()), _CLEANED)
+        return {"branches": len(stale), "folders": len(folders)}
+
+    def _delete(self, folders: list[str]) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for folder in folders:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-            self._publish("cleaned", uuid.uuid4().hex, (folder, _now()), _CLEANED)
-        return {"branches": len(stale), "folders": len(folders)}
 
 
 def _same(a: Entry, b: Entry) -> bool:

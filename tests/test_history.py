@@ -181,12 +181,28 @@ def test_blame_against_model(spark):
         for f, entries in _blame_model(chain, v, "dev").items()
         for value, pos in entries
     )
-    for held in (None, positions):
-        got = h.blame(versions, chain_df, ["id"], "dev", held)
+    for spans in (None, [(p, p, p if chain[p] == "dev" else None) for p in positions]):
+        got = h.blame(versions, chain_df, ["id"], "dev", spans)
         assert sorted((r["id"], r["field"], r["value"], r["pos"]) for r in got.collect()) == want
         assert got.where("hash <> concat('h', pos)").isEmpty()
 
 
+def test_blame_with_shared_versions(spark):
+    chain = spark.createDataFrame(
+        [(p, f"h{p}", "dev" if p < 4 else "main", "amy", "t") for p in range(6)],
+        "pos int, hash string, branch string, author string, ts string",
+    )
+    new, old = [(1, "x", "2")], [(1, "x", "1")]
+    full = spark.createDataFrame(
+        [(p, *r) for p, data in enumerate([new, new, old, old, old, old]) for r in data],
+        "pos int, id int, a string, b string",
+    )
+    want = rows(h.blame(full, chain, ["id"], "dev"))
+    short = full.where("pos in (0, 2)")
+    assert rows(h.blame(short, chain, ["id"], "dev", [(0, 1, 1), (2, 5, 3)])) == want
+    assert [(r[1], r[3]) for r in want] == [("a", 3), ("b", 1)]
+
+
 def test_drift_and_deploy_messages(spark):
     log = spark.createDataFrame([(5, "dev"), (9, "dev"), (4, "main")], "seq bigint, branch string")
     base = spark.createDataFrame(
