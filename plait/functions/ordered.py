@@ -13,32 +13,56 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _CHUNK = "__chunk"
 
 
-def chunk_bounds(df: DataFrame, order: str, chunks: int | None = None) -> list[float]:
-    """Cut points that split ``order`` (numeric) into parts of similar size."""
-    n = chunks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(2, min(n, 1024))
-    probs = [i / n for i in range(1, n)]
-    return sorted(set(df.approxQuantile(order, probs, 1 / (4 * n))))
+# At most this many pieces come from quantiles; each may be cut further.
+_PIECES = 64
+ROWS_PER_CHUNK = 1 << 20
 
 
-def chunk_number(order: str, bounds: list[float]) -> Column:
-    """Number of bounds not above the value, by binary search in one expression."""
+def chunk_number(df: DataFrame, order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Column:
+    """A non-decreasing function of a numeric column that cuts it into similar parts.
 
-    def search(lo: int, hi: int) -> Column:
+    One aggregation finds the row count and up to 64 quantiles; between two
+    quantiles the values are cut linearly until a chunk holds about
+    ``rows_per_chunk`` rows. Only the balance depends on the quantiles.
+    """
+    probs = [i / _PIECES for i in range(_PIECES + 1)]
+    marks = F.percentile_approx(order, probs, 10_000).alias("marks")
+    found = df.agg(marks, F.count(order).alias("n")).collect()[0]
+    if not found["n"]:
+        return F.lit(0).cast("long")
+    points = sorted(set(found["marks"]))
+    if found["n"] < _PIECES * 1000:
+        points = points[:: max(1, _PIECES // max(1, found["n"] // 1000))]
+    parts = max(1, -(-found["n"] // (len(points) * rows_per_chunk)))
+    v = f"`{order}`"
+
+    def piece(i: int) -> str:
+        if parts == 1 or i + 1 >= len(points):
+            return f"{i * parts}L"
+        lo, hi = _literal(points[i]), _literal(points[i + 1])
+        inner = f"floor(({v} - {lo}) / ({hi} - {lo}) * {parts})"
+        return f"({i * parts}L + greatest(0L, least({parts - 1}L, CAST({inner} AS BIGINT))))"
+
+    def search(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(order) < F.lit(bounds[mid]), search(lo, mid)).otherwise(
-            search(mid + 1, hi)
+            return piece(lo)
+        mid = (lo + hi + 1) // 2
+        return (
+            f"CASE WHEN {v} < {_literal(points[mid])} THEN {search(lo, mid - 1)} "
+            f"ELSE {search(mid, hi)} END"
         )
 
-    return search(0, len(bounds))
+    return F.expr(search(0, len(points) - 1))
+
+
+def _literal(value) -> str:
+    if isinstance(value, int):
+        return f"{value}L"
+    return f"CAST('{value!r}' AS DOUBLE)" if isinstance(value, float) else f"CAST('{value}' AS DOUBLE)"
 
 
 def _chunked(df: DataFrame, order: str, chunk: Column | None) -> DataFrame:
-    if chunk is None:
-        chunk = chunk_number(order, chunk_bounds(df, order))
-    return df.withColumn(_CHUNK, chunk)
+    return df.withColumn(_CHUNK, chunk_number(df, order) if chunk is None else chunk)
 
 
 def _by_chunk(group: list[str], descending: bool = False) -> Window:
@@ -145,35 +169,39 @@ def as_of_join(
 
     Probes keep their columns and gain the version's other columns (NULL when
     there is none); times are timestamps, ties go to the greater ``tie``.
-    Both sides are laid out on one time line, cut into chunks of similar size.
+    Distinct probe times and versions are laid out on one time line, cut into
+    chunks of similar size; the answers are then joined back to the probes.
     """
     rest = [c for c in versions.columns if c not in group]
-    own = [c for c in probes.columns if c not in group]
 
     def micros(col: str) -> Column:
         return F.unix_micros(F.col(col).cast("timestamp"))
 
-    v = versions.select(
-        *group,
-        micros(version_time).alias("__t"),
-        F.lit(0).alias("__kind"),
-        F.col(tie).cast("string").alias("__tie"),
-        F.struct(*rest).alias("__v"),
+    newest = F.max_by(F.struct(*rest), F.col(tie).cast("string")).alias("__v")
+    v = versions.groupBy(*group, micros(version_time).alias("__t")).agg(newest)
+    times = probes.select(*group, micros(probe_time).alias("__t")).distinct()
+    line = v.withColumn("__kind", F.lit(0)).unionByName(
+        times.withColumn("__kind", F.lit(1)), allowMissingColumns=True
     )
-    p = probes.select(
-        *group, micros(probe_time).alias("__t"), F.lit(1).alias("__kind"), F.struct(*own).alias("__p")
-    )
-    line = _chunked(v.unionByName(p, allowMissingColumns=True), "__t", None)
-    newest = F.when(F.col("__kind") == 0, F.struct("__t", "__tie"))
-    last = line.groupBy(*group, _CHUNK).agg(F.max_by("__v", newest).alias("__last"))
+    line = _chunked(line, "__t", None)
+    by_time = F.when(F.col("__kind") == 0, F.col("__t"))
+    last = line.groupBy(*group, _CHUNK).agg(F.max_by("__v", by_time).alias("__last"))
     before = _by_chunk(group).rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(
         *group, _CHUNK, F.last("__last", ignorenulls=True).over(before).alias("__v")
     )
     local = (
         Window.partitionBy(*group, _CHUNK)
-        .orderBy("__real", "__t", "__kind", "__tie")
+        .orderBy("__real", "__t", "__kind")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    found = _fronted(line, carry).withColumn("__f", F.last("__v", ignorenulls=True).over(local))
-    return found.where("__kind = 1").select(*group, "__p.*", "__f.*")
+    answered = _fronted(line, carry).withColumn(
+        "__f", F.last("__v", ignorenulls=True).over(local)
+    )
+    answers = answered.where("__kind = 1").select(
+        *[F.col(n).alias(f"__a_{n}") for n in group], F.col("__t").alias("__a_t"), "__f"
+    )
+    cond = micros(probe_time).eqNullSafe(F.col("__a_t"))
+    for n in group:
+        cond = cond & F.col(n).eqNullSafe(F.col(f"__a_{n}"))
+    return probes.join(answers, cond, "left").select(*probes.columns, "__f.*")

@@ -63,8 +63,9 @@ def ancestors(
     """All ancestors of each head: ``head, hash, depth``; safe on cycles.
 
     The head itself has depth -1 and its parents depth 0; the smallest depth
-    wins. Each round advances ``hops`` generations over a table of all links of
-    at most that length, built by repeated squaring.
+    wins. A round follows links of up to ``reach`` generations; between rounds
+    the links are squared until they reach ``hops``, so shallow histories end
+    after a few rounds and deep ones advance ``hops`` generations at a time.
     """
     commits = written(commits.select("hash", "parents"), "commits")
     known = commits.select("hash")
@@ -74,39 +75,44 @@ def ancestors(
         .select("hash", F.col("parent").alias("far"), F.lit(1).alias("dist"))
         .distinct()
     )
-    reach = 1
-    while reach < hops:
-        left = links.select("hash", F.col("far").alias("via"), F.col("dist").alias("d1"))
-        right = links.select(F.col("hash").alias("via"), "far", F.col("dist").alias("d2"))
-        twice = left.join(right, "via").select(
-            "hash", "far", (F.col("d1") + F.col("d2")).alias("dist")
-        )
-        shortest = links.union(twice).groupBy("hash", "far").agg(F.min("dist").alias("dist"))
-        links = written(shortest, "links")
-        reach *= 2
     own = heads.select("hash").distinct().join(known, "hash", "left_semi")
-    frontier = written(
-        own.select(F.col("hash").alias("head"), "hash", F.lit(-1).alias("depth")), "found"
-    )
-    parts = [frontier]
-    depth = -1
-    while max_depth is None or depth < max_depth:
+    parts = [
+        written(own.select(F.col("hash").alias("head"), "hash", F.lit(-1).alias("depth")), "found")
+    ]
+    covered, reach = -1, 1
+    while max_depth is None or covered < max_depth:
+        found = _union(parts)
+        # Every path to a deeper node passes a found node of these depths.
+        frontier = found.where(F.col("depth") > covered - reach)
         next_ones = (
             frontier.join(links, "hash")
             .groupBy("head", F.col("far").alias("hash"))
             .agg(F.min(F.col("depth") + F.col("dist")).alias("depth"))
-            .join(_union(parts).select("head", "hash"), ["head", "hash"], "left_anti")
+            .join(found.select("head", "hash"), ["head", "hash"], "left_anti")
             .select("head", "hash", "depth")
         )
-        frontier = written(next_ones, "found")
-        if frontier.isEmpty():
+        newer = written(next_ones, "found")
+        if newer.isEmpty():
             break
-        parts.append(frontier)
-        depth += reach
+        parts.append(newer)
+        covered += reach
+        if reach < hops:
+            links = written(_squared(links), "links")
+            reach *= 2
     found = _union(parts)
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
+def _squared(links: DataFrame) -> DataFrame:
+    """Links of at most twice the length, shortest distance per pair."""
+    left = links.select("hash", F.col("far").alias("via"), F.col("dist").alias("d1"))
+    right = links.select(F.col("hash").alias("via"), "far", F.col("dist").alias("d2"))
+    twice = left.join(right, "via").select(
+        "hash", "far", (F.col("d1") + F.col("d2")).alias("dist")
+    )
+    return links.union(twice).groupBy("hash", "far").agg(F.min("dist").alias("dist"))
+
+
 def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 8) -> DataFrame:
     """Merge base of each pair ``a, b`` of commits: ``a, b, base, depth``.
 

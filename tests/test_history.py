@@ -36,6 +36,25 @@ def test_previous_value_and_position(skewed):
     assert all(r["p"] == (r["seq"] - 1 if r["seq"] else None) for r in whole.collect())
 
 
+def test_chunks_follow_the_order(spark):
+    rnd = random.Random(9)
+    values = [int(rnd.expovariate(1) * 1000) for _ in range(5000)] + [7] * 3000
+    for schema, data in (("v bigint", values), ("v double", [x / 7 for x in values])):
+        df = spark.createDataFrame([(x,) for x in data], schema)
+        chunk = ordered.chunk_number(df, "v", rows_per_chunk=10)
+        got = sorted((r["v"], r["c"]) for r in df.select("v", chunk.alias("c")).collect())
+        chunks = [c for _, c in got]
+        assert chunks == sorted(chunks) and len(set(chunks)) > 200
+    assert ordered.chunk_number(df.limit(0), "v") is not None
+
+
+def test_shared_folder(spark):
+    from plait.session import fresh_path, shared_dir, written
+
+    assert fresh_path(spark, "x").startswith(shared_dir(spark))
+    assert written(spark.range(5), "five").count() == 5
+
+
 def test_rank(skewed):
     for descending in (True, False):
         key = F.desc("score") if descending else F.asc("score")
