@@ -96,6 +96,10 @@ def test_lazy_partial_schema_only_and_rules(store):
     store.create_branch("fixed", read_only=True)
     with pytest.raises(PermissionError):
         edit(store, "fixed", "id = 1", "score", 0)
+    users = store.table("lazy", "users")
+    with pytest.raises(ValueError, match="not unique"):
+        store.write("lazy", "users", users.union(users))
+    assert store.table("lazy", "users").count() == 3
     for name in ("", "main", "-x", "a b"):
         with pytest.raises(ValueError):
             store.create_branch(name)
