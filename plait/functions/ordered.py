@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
+
 _CHUNK = "__chunk"
 
 
@@ -183,7 +185,8 @@ def as_of_join(
     line = v.withColumn("__kind", F.lit(0)).unionByName(
         times.withColumn("__kind", F.lit(1)), allowMissingColumns=True
     )
-    line = _chunked(line, "__t", None)
+    # Read three times below: for the cut points, the summary and the window.
+    line = _chunked(written(line, "timeline"), "__t", None)
     by_time = F.when(F.col("__kind") == 0, F.col("__t"))
     last = line.groupBy(*group, _CHUNK).agg(F.max_by("__v", by_time).alias("__last"))
     before = _by_chunk(group).rowsBetween(Window.unboundedPreceding, -1)
