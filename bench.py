@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from plait.plans import registry  # noqa: E402
-from plait.session import local_session  # noqa: E402
+from plait.session import clear_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "d4_diff_fields",
@@ -67,6 +67,7 @@ def main() -> None:
         if os.path.isdir(warm_dir):
             run(name, warm_dir)
     times = {name: round(run(name, sf_dir), 3) for name in chosen}
+    clear_scratch(spark)
     spark.stop()
     print(
         json.dumps(

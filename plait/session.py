@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
 
 def local_session(cores: str = "*", name: str = "plait") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
@@ -25,24 +22,33 @@ def local_session(cores: str = "*", name: str = "plait") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``.
+    """A folder that the driver and all executors share.
 
-    Only a ``local`` master may run without the setting; it then gets its own
-    temporary folder, which would be wrong on a cluster.
+    ``spark.checkpoint.dir`` names it; where that is unset, intermediate tables
+    go next to the managed tables, in the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="plait-")
-    return _LOCAL_SCRATCH[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder of this session; ``clear_scratch`` removes them all."""
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/plait-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this session has written to the shared folder.
+
+    Results are lazy and may still read it, so call it after the last action.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -72,7 +72,7 @@ def main():
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
-    from plait.session import local_session
+    from plait.session import clear_scratch, local_session
 
     sf_dir = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.001'}"
     wanted = sys.argv[2:]
@@ -98,6 +98,7 @@ def main():
         mark = "FAIL" if problem else ("ok" if name in sqls else "rows")
         print(f"{mark:5} {name:42} rows={n:<8} {took:6.2f}s {problem or ''}", flush=True)
     print(f"{failed} failed")
+    clear_scratch(spark)
     spark.stop()
 
 

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from plait.plans import registry
 from tests.oracle import connect, problems
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES, SQL = registry()
 
 
 @pytest.fixture(scope="module")
