@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path
-from . import idfiles, packing
+from . import forest, idfiles, impact, langid, licenses, mixing, packing, pii, simhash, tokencount
 
 
 def public_tokenizer(name: str) -> str:
@@ -19,6 +19,18 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_ppm_language(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(_table(spark, sf, "documents"))
+
+
+def op2_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf, "documents"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def op4_token_id_files(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "token-ids")
     idfiles.write(_table(spark, sf, "documents"), path, public_tokenizer("word_bpe_49k.json"))
@@ -29,8 +41,39 @@ def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizer("word_bpe_49k.json"))
 
 
+def op6_impact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return impact.top_k(_table(spark, sf, "embeddings"))
+
+
+def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents stand in the directories source/language."""
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"),
+                    F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return licenses.scan(_table(spark, sf, "documents"), path)
+
+
+def op8_simhash_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf, "documents"))
+
+
+def op9_vector_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.similar_vectors(_table(spark, sf, "embeddings"))
+
+
+def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(_table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op1_ppm_language": op1_ppm_language,
+    "op2_source_mix": op2_source_mix,
+    "op3_token_counts": op3_token_counts,
     "op4_token_id_files": op4_token_id_files,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_impact_top_k": op6_impact_top_k,
+    "op7_license_scan": op7_license_scan,
+    "op8_simhash_duplicates": op8_simhash_duplicates,
+    "op9_vector_forest": op9_vector_forest,
+    "op10_personal_data": op10_personal_data,
 }
 SQL: dict[str, str] = {}
