@@ -165,8 +165,8 @@ def reliabilities(counts: list[tuple[tuple[int, ...], int]], rounds: int = 60):
     """Posterior of each vote pattern that a span is personal, and each labeler's odds.
 
     Expectation-maximisation for labelers that err on their own: a prior and, for each
-    labeler, the chances of its votes, abstentions included, given the truth. It starts
-    from the share of positive votes, so the two classes keep their meaning.
+    labeler, the chances of its votes given the truth; who abstains says nothing. It
+    starts from the share of positive votes, so the two classes keep their meaning.
     """
     total = sum(n for _, n in counts)
     post = []
@@ -179,19 +179,20 @@ def reliabilities(counts: list[tuple[tuple[int, ...], int]], rounds: int = 60):
         prior = (yes + 1) / (total + 2)
         odds = []
         for j in range(len(VOTES)):
-            seen = {v: [1.0, 1.0] for v in (1, 0, ABSTAIN)}
-            seen[1][0] += 1  # labelers are better than chance until counts say otherwise
-            seen[0][1] += 1
+            # Labelers are better than chance until counts say otherwise.
+            seen = {1: [2.0, 1.0], 0: [1.0, 2.0]}
             for p, (votes, n) in zip(post, counts):
-                seen[votes[j]][0] += p * n
-                seen[votes[j]][1] += (1 - p) * n
+                if votes[j] != ABSTAIN:
+                    seen[votes[j]][0] += p * n
+                    seen[votes[j]][1] += (1 - p) * n
             sums = [sum(s[k] for s in seen.values()) for k in (0, 1)]
             odds.append({v: (s[0] / sums[0], s[1] / sums[1]) for v, s in seen.items()})
         post = []
         for votes, _ in counts:
             a, b = math.log(prior), math.log(1 - prior)
             for j, v in enumerate(votes):
-                a, b = a + math.log(odds[j][v][0]), b + math.log(odds[j][v][1])
+                if v != ABSTAIN:
+                    a, b = a + math.log(odds[j][v][0]), b + math.log(odds[j][v][1])
             post.append(1 / (1 + math.exp(min(700, b - a))))
     return post, odds
 
