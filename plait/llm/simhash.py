@@ -85,7 +85,7 @@ def _flips(segment: Column, bits: int) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of different fingerprints with at most two differing bits.
+    """``a, b``: all pairs with at most two differing bits of the distinct ``fp`` given.
 
     A fingerprint has two segments of 32 bits. Of two differing bits, one segment holds
     at most one, so enumerating the ball of radius one in each segment finds every pair.
@@ -100,7 +100,9 @@ def links(fps: DataFrame) -> DataFrame:
     one segment. The side with the zero bit looks up the other, so a pair is fetched by
     one of the two. Complete distances are verified.
     """
-    one = fps.select("fp").distinct()
+    # Each row becomes a hundred, so small rows are spread over many tasks first.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = fps.select("fp").repartition(parts)
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
 
@@ -131,7 +133,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def classes(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``fp, component_id``: the smallest id among all fingerprints reachable by links."""
-    own = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+    own = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     tied = components(links(own))
     named = own.join(tied, own["fp"] == tied["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
@@ -172,4 +174,5 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     # A class without any id is told by its fingerprints' component, not by the null.
     stays = joined.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first)
     kept = written(stays.select(F.col(f"first.{row}").alias("_kept")), "kept")
-    return placed.join(kept, F.col(row) == F.col("_kept"), "left_semi").drop(row)
+    # The same plan at every size: what stays is most of the table, never a small side.
+    return placed.join(kept.hint("merge"), F.col(row) == F.col("_kept"), "left_semi").drop(row)
