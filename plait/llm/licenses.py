@@ -56,7 +56,11 @@ def _terms(text: Column) -> Column:
 
 
 def best_templates(units: DataFrame, least: float) -> DataFrame:
-    """``unit, license, score`` for the distinct texts ``unit`` near enough to a template."""
+    """``unit, license, score, held`` for the distinct texts ``unit`` near enough to a
+    template; ``held`` is the number of terms.
+
+    Terms travel with a number in place of their text, which may be long.
+    """
     spark = units.sparkSession
     idf, other = weights()
     rows = []
@@ -66,17 +70,20 @@ def best_templates(units: DataFrame, least: float) -> DataFrame:
         rows += [(t, number, name, w / norm, idf[t]) for t, w in vector.items()]
     # A few hundred rows, fixed in number by the templates above.
     table = F.broadcast(spark.createDataFrame(rows, "term string, number int, license string, w double, idf double"))
-    counted = units.select("unit", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    units = written(units.withColumn("no", F.monotonically_increasing_id()), "texts")
+    split = units.select("no", F.explode(_terms(F.col("unit"))).alias("term"))
+    counted = split.groupBy("no", "term").agg(F.count("*").alias("tf"))
     known = table.select("term", "idf").distinct()
     weighed = counted.join(F.broadcast(known), "term", "left").select(
-        "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("weight")
+        "no", "term", "tf", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("weight")
     )
-    norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    dots = weighed.join(table, "term").groupBy("unit", "number", "license").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
+    norms = weighed.groupBy("no").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"), F.sum("tf").alias("held"))
+    dots = weighed.join(table, "term").groupBy("no", "number", "license").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    scored = dots.join(norms, "unit").withColumn("score", cosine).where(F.col("score") >= least)
-    best = F.max_by(F.struct("license", "score"), F.struct("score", -F.col("number")))
-    return scored.groupBy("unit").agg(best.alias("best")).select("unit", "best.license", "best.score")
+    scored = dots.join(norms, "no").withColumn("score", cosine).where(F.col("score") >= least)
+    best = F.max_by(F.struct("license", "score", "held"), F.struct("score", -F.col("number")))
+    found = scored.groupBy("no").agg(best.alias("best"))
+    return units.join(found, "no").select("unit", "best.license", "best.score", "best.held")
 
 
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", least: float = 0.7, file_share: float = 0.8) -> DataFrame:
@@ -103,7 +110,7 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", least: float = 0
                     F.size(_terms(F.col("text"))).alias("words"), F.explode(pieces).alias("unit")),
         "units",
     )
-    best = best_templates(units.select("unit").distinct(), least).withColumn("held", F.size(_terms(F.col("unit"))))
+    best = best_templates(units.select("unit").distinct(), least)
     hits = units.join(best.withColumnRenamed("unit", "_u"), F.col("unit") == F.col("_u"))
     top = F.max_by(F.struct("license", "score"), F.struct("score", F.col("license")))
     own = written(
