@@ -15,56 +15,18 @@ from ..session import written
 _CHUNK = "__chunk"
 
 
-# At most this many pieces come from quantiles; each may be cut further.
-_PIECES = 64
-ROWS_PER_CHUNK = 1 << 20
+def _chunked(df: DataFrame, group: list[str], order: str, chunk: Column | None) -> DataFrame:
+    """Cut each group along ``order``, into parts of similar size over the whole table.
 
-
-def chunk_number(df: DataFrame, order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Column:
-    """A non-decreasing function of a numeric column that cuts it into similar parts.
-
-    One aggregation finds the row count and up to 64 quantiles; between two
-    quantiles the values are cut linearly until a chunk holds about
-    ``rows_per_chunk`` rows. Only the balance depends on the quantiles.
+    Spark's range partitioning cuts by any type that can be ordered, NULLs first, and
+    never between equal values. Its cut points come from a sample, so the rows are
+    written once with the part they fall into; only the balance depends on the sample.
     """
-    probs = [i / _PIECES for i in range(_PIECES + 1)]
-    marks = F.percentile_approx(order, probs, 10_000).alias("marks")
-    found = df.agg(marks, F.count(order).alias("n")).collect()[0]
-    if not found["n"]:
-        return F.lit(0).cast("long")
-    points = sorted(set(found["marks"]))
-    if found["n"] < _PIECES * 1000:
-        points = points[:: max(1, _PIECES // max(1, found["n"] // 1000))]
-    parts = max(1, -(-found["n"] // (len(points) * rows_per_chunk)))
-    v = f"`{order}`"
-
-    def piece(i: int) -> str:
-        if parts == 1 or i + 1 >= len(points):
-            return f"{i * parts}L"
-        lo, hi = _literal(points[i]), _literal(points[i + 1])
-        inner = f"floor(({v} - {lo}) / ({hi} - {lo}) * {parts})"
-        return f"({i * parts}L + greatest(0L, least({parts - 1}L, CAST({inner} AS BIGINT))))"
-
-    def search(lo: int, hi: int) -> str:
-        if lo == hi:
-            return piece(lo)
-        mid = (lo + hi + 1) // 2
-        return (
-            f"CASE WHEN {v} < {_literal(points[mid])} THEN {search(lo, mid - 1)} "
-            f"ELSE {search(mid, hi)} END"
-        )
-
-    return F.expr(search(0, len(points) - 1))
-
-
-def _literal(value) -> str:
-    if isinstance(value, int):
-        return f"{value}L"
-    return f"CAST('{value!r}' AS DOUBLE)" if isinstance(value, float) else f"CAST('{value}' AS DOUBLE)"
-
-
-def _chunked(df: DataFrame, order: str, chunk: Column | None) -> DataFrame:
-    return df.withColumn(_CHUNK, chunk_number(df, order) if chunk is None else chunk)
+    if chunk is not None:
+        return df.withColumn(_CHUNK, chunk)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *group, order)
+    return written(cut.withColumn(_CHUNK, F.spark_partition_id().cast("long")), "chunks")
 
 
 def _by_chunk(group: list[str], descending: bool = False) -> Window:
@@ -88,13 +50,13 @@ def previous_value(
     name: str,
     chunk: Column | None = None,
 ) -> DataFrame:
-    """``lag(value)`` per group along a unique numeric ``order`` column.
+    """``lag(value)`` per group along a unique ``order`` column, NULL first.
 
-    ``chunk`` may be any non-decreasing function of ``order``, such as
-    ``floor(seq / 1e6)``; by default cut points are taken from quantiles.
+    ``chunk`` may be any function of ``order`` that is never NULL and never falls, such
+    as ``floor(seq / 1e6)`` of a whole number; by default the order is cut by ranges.
     """
-    cut = _chunked(df, order, chunk).withColumn("__v", F.struct(value.alias("v")))
-    last = cut.groupBy(*group, _CHUNK).agg(F.max_by("__v", F.col(order)).alias("__last"))
+    cut = _chunked(df, group, order, chunk).withColumn("__v", F.struct(value.alias("v")))
+    last = cut.groupBy(*group, _CHUNK).agg(F.max_by("__v", F.struct(order)).alias("__last"))
     carry = last.select(*group, _CHUNK, F.lag("__last").over(_by_chunk(group)).alias("__v"))
     local = Window.partitionBy(*group, _CHUNK).orderBy("__real", order)
     out = _fronted(cut, carry).withColumn("__prev", F.lag("__v").over(local)).where("__real = 1")
@@ -109,8 +71,8 @@ def position(
     descending: bool = False,
     chunk: Column | None = None,
 ) -> DataFrame:
-    """Zero-based position per group along a unique numeric ``order`` column."""
-    cut = _chunked(df, order, chunk)
+    """Zero-based position per group along a unique ``order`` column; NULL is least."""
+    cut = _chunked(df, group, order, chunk)
     sizes = cut.groupBy(*group, _CHUNK).agg(F.count("*").alias("__n"))
     before = _by_chunk(group, descending).rowsBetween(Window.unboundedPreceding, -1)
     carry = sizes.select(
@@ -129,13 +91,13 @@ def position(
 def rank_by(
     df: DataFrame, group: list[str], order: str, name: str, descending: bool = True
 ) -> DataFrame:
-    """SQL ``rank()`` per group over a numeric column.
+    """SQL ``rank()`` per group over a column of any ordered type; NULL is least.
 
     Ties are counted once per distinct value before anything is ordered, so a
     value shared by most rows costs one summary row.
     """
     counts = df.groupBy(*group, order).agg(F.count("*").alias("__n"))
-    cut = _chunked(counts, order, None)
+    cut = _chunked(counts, group, order, None)
     before = _by_chunk(group, descending).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         cut.groupBy(*group, _CHUNK)
@@ -170,7 +132,8 @@ def as_of_join(
     """For each probe the latest version of its group with time not after the probe.
 
     Probes keep their columns and gain the version's other columns (NULL when
-    there is none); times are timestamps, ties go to the greater ``tie``.
+    there is none or the probe has no time); times are timestamps, a version without
+    one never applies, ties go to the greater ``tie``.
     Distinct probe times and versions are laid out on one time line, cut into
     chunks of similar size; the answers are then joined back to the probes.
     """
@@ -180,13 +143,14 @@ def as_of_join(
         return F.unix_micros(F.col(col).cast("timestamp"))
 
     newest = F.max_by(F.struct(*rest), F.col(tie).cast("string")).alias("__v")
-    v = versions.groupBy(*group, micros(version_time).alias("__t")).agg(newest)
-    times = probes.select(*group, micros(probe_time).alias("__t")).distinct()
+    dated = versions.where(F.col(version_time).isNotNull())
+    v = dated.groupBy(*group, micros(version_time).alias("__t")).agg(newest)
+    times = probes.where(F.col(probe_time).isNotNull())
+    times = times.select(*group, micros(probe_time).alias("__t")).distinct()
     line = v.withColumn("__kind", F.lit(0)).unionByName(
         times.withColumn("__kind", F.lit(1)), allowMissingColumns=True
     )
-    # Read three times below: for the cut points, the summary and the window.
-    line = _chunked(written(line, "timeline"), "__t", None)
+    line = _chunked(line, group, "__t", None)
     by_time = F.when(F.col("__kind") == 0, F.col("__t"))
     last = line.groupBy(*group, _CHUNK).agg(F.max_by("__v", by_time).alias("__last"))
     before = _by_chunk(group).rowsBetween(Window.unboundedPreceding, -1)
@@ -204,7 +168,7 @@ def as_of_join(
     answers = answered.where("__kind = 1").select(
         *[F.col(n).alias(f"__a_{n}") for n in group], F.col("__t").alias("__a_t"), "__f"
     )
-    cond = micros(probe_time).eqNullSafe(F.col("__a_t"))
+    cond = micros(probe_time) == F.col("__a_t")
     for n in group:
         cond = cond & F.col(n).eqNullSafe(F.col(f"__a_{n}"))
     return probes.join(answers, cond, "left").select(*probes.columns, "__f.*")

@@ -29,7 +29,7 @@ def glob_regex(pattern: Column) -> Column:
     """Anchored regular expression of a glob; only ``*`` is special."""
     parts = F.transform(
         F.split(pattern, r"\*", -1),
-        lambda p: F.regexp_replace(p, r"([\\.+?^${}()|\[\]])", r"\\$1"),
+        lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")),
     )
     return F.concat(F.lit("^"), F.array_join(parts, ".*"), F.lit("$"))
 

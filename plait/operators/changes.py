@@ -188,12 +188,12 @@ def replay(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 
 def op_log(
-    log: DataFrame, where: Column | None = None, limit: int = 1000, seq: str = "seq"
+    log: DataFrame, where: Column | None = None, limit: int | None = None, seq: str = "seq"
 ) -> DataFrame:
     """Log rows in order."""
     if where is not None:
         log = log.where(where)
-    return log.orderBy(seq).limit(limit)
+    return log.orderBy(seq) if limit is None else log.orderBy(seq).limit(limit)
 
 
 def op_summary(log: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -212,11 +212,14 @@ def undo_last(
 ) -> tuple[DataFrame, DataFrame]:
     """Undo the last ``n`` operations: (table, remaining log).
 
-    Per key the before-image of the oldest undone operation is restored; a NULL
-    image means the row did not exist.
+    An operation is all log rows of one ``seq``, however many rows it touched. Per key
+    the before-image of the oldest undone operation is restored; a NULL image means the
+    row did not exist.
     """
-    order = [seq, *keys]
-    recent = log.orderBy(*[F.desc(c) for c in order]).limit(n)
+    newest = log.select(seq).distinct().orderBy(F.desc(seq)).limit(n)
+    first = newest.agg(F.min(seq)).scalar()
+    undone = F.coalesce(F.col(seq) >= first, F.lit(False))
+    recent = log.where(undone)
     images = recent.groupBy(*keys).agg(
         F.min_by(F.struct("before"), F.col(seq)).alias("image")
     )
@@ -230,4 +233,4 @@ def undo_last(
     table = (
         both.select(*keys, row.alias("r")).where("r IS NOT NULL").select(*keys, "r.*")
     )
-    return table.select(*df.columns), log.join(recent.select(*order), order, "left_anti")
+    return table.select(*df.columns), log.where(~undone)

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.canonical import as_text, comparable
-from .keys import key_text, row_struct, value_types
+from .keys import align, key_text, row_struct, same_key, value_types
 
 ADDED, REMOVED, MODIFIED, UNCHANGED = "added", "removed", "modified", "unchanged"
 
@@ -31,16 +31,15 @@ def differs(a: Column, b: Column, types: dict[str, T.DataType]) -> Column:
 def row_pairs(
     source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None
 ) -> tuple[DataFrame, dict[str, T.DataType]]:
-    """Full outer join of both sides as structs ``src`` and ``tgt`` (NULL = absent)."""
+    """Both sides by key as structs ``src`` and ``tgt`` (NULL = absent)."""
     types = _select_values(value_types([source, target], keys), columns)
-    s = source.select(*keys, row_struct(source, types).alias("src"))
-    t = target.select(*keys, row_struct(target, types).alias("tgt"))
-    return s.join(t, keys, "full_outer"), types
+    return align({"src": source, "tgt": target}, keys, types)
 
 
 def diff_added(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``source`` whose key is not in ``target``."""
-    return source.join(target.select(*keys), keys, "left_anti").select(*source.columns)
+    known = target.select(*[F.col(k).alias(f"__t_{k}") for k in keys])
+    return source.join(known, same_key(keys, "__t_"), "left_anti")
 
 
 def diff_removed(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,11 +48,9 @@ def diff_removed(source: DataFrame, target: DataFrame, keys: list[str]) -> DataF
 
 
 def _modified_pairs(source, target, keys, columns=None):
-    types = _select_values(value_types([source, target], keys), columns)
-    s = source.select(*keys, row_struct(source, types).alias("src"))
-    t = target.select(*keys, row_struct(target, types).alias("tgt"))
-    pairs = s.join(t, keys, "inner")
-    return pairs.where(differs(F.col("src"), F.col("tgt"), types)), types
+    pairs, types = row_pairs(source, target, keys, columns)
+    both = F.col("src").isNotNull() & F.col("tgt").isNotNull()
+    return pairs.where(both & differs(F.col("src"), F.col("tgt"), types)), types
 
 
 def diff_modified(
@@ -87,6 +84,8 @@ def _changed_fields(a: Column, b: Column, types: dict[str, T.DataType]) -> Colum
         )
         for n, t in types.items()
     ]
+    if not entries:  # key columns only
+        return F.array().cast("array<struct<field:string,from:string,to:string>>")
     return F.array_compact(F.array(*entries))
 
 
@@ -129,15 +128,13 @@ def diff_summary(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def diff_status(branch: DataFrame, main: DataFrame, keys: list[str]) -> DataFrame:
     """Status of every row of ``main`` as seen from ``branch``."""
-    types = value_types([main, branch], keys)
-    m = main.select(*keys, row_struct(main, types).alias("tgt"))
-    b = branch.select(*keys, row_struct(branch, types).alias("src"))
+    rows, types = align({"src": branch, "tgt": main}, keys)
     status = (
         F.when(F.col("src").isNull(), "deleted_in_branch")
         .when(differs(F.col("src"), F.col("tgt"), types), MODIFIED)
         .otherwise(UNCHANGED)
     )
-    return m.join(b, keys, "left").select(*keys, status.alias("status"))
+    return rows.where("tgt IS NOT NULL").select(*keys, status.alias("status"))
 
 
 def diff_definitions(

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.text import glob_match
-from .keys import small
 
 # --- rules that match branch names --------------------------------------------------
 
@@ -17,20 +16,22 @@ def match_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules`` has ``pattern`` and ``created_at`` (their order) and any columns.
     A glob can only match names that start with its text before the first
-    ``*``, so names meet rules by an equi-join on that prefix.
+    ``*``, so names meet rules by an equi-join on that prefix. Names are cut at the
+    prefix lengths that occur among the rules, so most rules met are near ones.
     """
     prefix = F.substring_index("pattern", "*", 1)
+    lengths = rules.agg(F.array_sort(F.collect_set(F.length(prefix)))).scalar()
     keyed = rules.select(F.struct(*rules.columns).alias("rule"), prefix.alias("prefix"))
-    starts = names.select("name").distinct().select(
+    starts = names.select("name").distinct().withColumn("lengths", lengths).select(
         "name",
         F.explode(
             F.transform(
-                F.sequence(F.lit(0), F.length("name")),
+                F.filter("lengths", lambda n: n <= F.length("name")),
                 lambda n: F.substring(F.col("name"), F.lit(1), n),
             )
         ).alias("prefix"),
     )
-    hits = starts.join(small(keyed), "prefix").where(glob_match(F.col("name"), F.col("rule.pattern")))
+    hits = starts.join(keyed, "prefix").where(glob_match(F.col("name"), F.col("rule.pattern")))
     order = F.struct("rule.created_at", "rule.pattern")
     return hits.groupBy("name").agg(F.min_by("rule", order).alias("rule"))
 
@@ -45,8 +46,8 @@ def check_write(requests: DataFrame, protections: DataFrame) -> DataFrame:
     joined = requests.join(rules.withColumnRenamed("name", "branch"), "branch", "left")
     blocked = F.coalesce(F.col("rule.merge_only") & ~F.col("is_merge"), F.lit(False))
     reason = F.concat(
-        F.lit('Branch "'), "branch", F.lit('" is protected (matches rule "'),
-        F.col("rule.pattern"), F.lit('"). Only merges are allowed.'),
+        F.lit('Branch "'), "branch", F.lit('": rule "'),
+        F.col("rule.pattern"), F.lit('" lets merges through only'),
     )
     return joined.select(
         *requests.columns, (~blocked).alias("allowed"), F.when(blocked, reason).alias("reason")
@@ -58,12 +59,12 @@ def check_write(requests: DataFrame, protections: DataFrame) -> DataFrame:
 
 def _scope_reason() -> Column:
     agent, op, table = F.col("agent"), F.col("op"), F.col("table")
-    lacks = F.concat(F.lit('Agent "'), agent, F.lit('" lacks "'), op, F.lit('" permission'))
+    lacks = F.concat(F.lit('Agent "'), agent, F.lit('" was not granted "'), op, F.lit('" rights'))
     denied = F.concat(
-        F.lit('Table "'), table, F.lit('" is denied for agent "'), agent, F.lit('"')
+        F.lit('Table "'), table, F.lit('" is closed to agent "'), agent, F.lit('"')
     )
     unlisted = F.concat(
-        F.lit('Table "'), table, F.lit('" is not in allowed list for agent "'), agent, F.lit('"')
+        F.lit('Table "'), table, F.lit('" is not among the tables of agent "'), agent, F.lit('"')
     )
     return (
         F.when(F.col("permissions").isNull(), F.lit(None).cast("string"))
@@ -79,18 +80,18 @@ def check_permission(requests: DataFrame, scopes: DataFrame) -> DataFrame:
     ``scopes`` has one row per agent: ``agent, permissions, allowed_tables,
     denied``; an agent without one is unrestricted.
     """
-    own = small(scopes.select("agent", "permissions", "allowed_tables", "denied"))
+    own = scopes.select("agent", "permissions", "allowed_tables", "denied")
     joined = requests.join(own, "agent", "left").withColumn("reason", _scope_reason())
     return joined.select(*requests.columns, F.col("reason").isNull().alias("allowed"), "reason")
 
 
 def check_quota(counts: DataFrame, scopes: DataFrame) -> DataFrame:
     """Whether an agent ``agent, branches`` may create another branch; 0 or NULL is unlimited."""
-    joined = counts.join(small(scopes.select("agent", "max_branches")), "agent", "left")
+    joined = counts.join(scopes.select("agent", "max_branches"), "agent", "left")
     limit = F.col("max_branches")
     full = F.coalesce((limit > 0) & (F.col("branches") >= limit), F.lit(False))
     reason = F.concat(
-        F.lit('Agent "'), "agent", F.lit('" has reached max branches ('),
+        F.lit('Agent "'), "agent", F.lit('" already owns its share of branches ('),
         limit.cast("string"), F.lit(")"),
     )
     return joined.select(
@@ -103,8 +104,9 @@ def violations(checked: DataFrame, at: Column) -> DataFrame:
     return checked.where(~F.col("allowed")).drop("allowed").withColumn("at", at)
 
 
-def newest_violations(log: DataFrame, agent: str, limit: int = 50) -> DataFrame:
-    return log.where(F.col("agent") == agent).orderBy(F.desc("at"), F.desc("id")).limit(limit)
+def newest_violations(log: DataFrame, agent: str, limit: int | None = None) -> DataFrame:
+    ordered = log.where(F.col("agent") == agent).orderBy(F.desc("at"), F.desc("id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def write_gate(

@@ -27,7 +27,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def commit_log(commits: DataFrame, heads: DataFrame, limit: int | None = 50) -> DataFrame:
+def commit_log(commits: DataFrame, heads: DataFrame, limit: int | None = None) -> DataFrame:
     """First-parent chain of each head: ``branch, hash, pos`` with 0 the newest.
 
     ``heads`` has ``branch, hash``. A cycle ends the walk only through ``limit``.

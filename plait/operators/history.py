@@ -10,8 +10,7 @@ from ..functions.canonical import as_text, comparable
 from ..functions.ordered import as_of_join
 from . import changes
 from .diff import ADDED, MODIFIED, REMOVED, differs
-from .keys import small
-from .merge import align
+from .keys import align
 
 # How long each kind of record is kept.
 RETENTION = {
@@ -152,7 +151,7 @@ def blame(
         "__oldest",
         "__own",
     )
-    rows = versions.join(small(numbered), "pos")
+    rows = versions.join(numbered, "pos")
     by_key = Window.partitionBy(*keys)
     newest_first = by_key.orderBy("__t")
     marked = rows.withColumn("__rn", F.row_number().over(newest_first)).withColumn(
@@ -193,7 +192,7 @@ def blame(
         )
     found = marked.select(*keys, F.inline(F.array_compact(F.array(*entries))))
     info = chain.select(F.col("pos").cast("int").alias("pos"), "hash", "author", "ts")
-    return found.join(small(info), "pos").select(*keys, "field", "value", "pos", "hash", "author", "ts")
+    return found.join(info, "pos").select(*keys, "field", "value", "pos", "hash", "author", "ts")
 
 
 def stack_versions(versions: list[tuple[int, DataFrame]]) -> DataFrame:
@@ -229,19 +228,22 @@ def branch_history(history: DataFrame, branch: str) -> DataFrame:
     return history_rows(history, branch).orderBy("timestamp")
 
 
-def all_history(history: DataFrame, limit: int = 50) -> DataFrame:
-    return history.orderBy(F.desc("timestamp"), F.desc("branchName")).limit(limit)
+def all_history(history: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest first."""
+    ordered = history.orderBy(F.desc("timestamp"), F.desc("branchName"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def reflog_entries(
-    reflog: DataFrame, branch: str | None = None, action: str | None = None, limit: int = 50
+    reflog: DataFrame, branch: str | None = None, action: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Reference moves, newest first."""
     if branch is not None:
         reflog = reflog.where(F.col("branch") == branch)
     if action is not None:
         reflog = reflog.where(F.col("action") == action)
-    return reflog.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+    ordered = reflog.orderBy(F.desc("ts"), F.desc("id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def ever_existed(names: DataFrame, reflog: DataFrame) -> DataFrame:

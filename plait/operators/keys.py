@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.canonical import as_text
 
+# Stands for the values of a row that has key columns only.
+PRESENT = "__present"
+
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once or hold a NULL."""
@@ -57,13 +62,34 @@ def row_struct(df: DataFrame, types: dict[str, T.DataType]) -> Column:
         else:
             col = as_text(F.col(name), own[name])
         fields.append(col.alias(name))
-    return F.struct(*fields)
+    return F.struct(*(fields or [F.lit(True).alias(PRESENT)]))
+
+
+def same_key(keys: list[str], prefix: str) -> Column:
+    """The key columns equal their prefixed namesakes; NULL equals NULL."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
-def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast if it really has at most ``max_rows`` rows.
+def align(
+    versions: dict[str, DataFrame], keys: list[str], types: dict[str, T.DataType] | None = None
+) -> tuple[DataFrame, dict[str, T.DataType]]:
+    """One row per key with a struct per version (NULL = row absent there).
 
-    For rule and metadata tables of narrow rows; a larger one is joined by
-    shuffle, where adaptive execution splits hot keys.
+    The union is shuffled once; the aggregation then runs on that partitioning. NULL
+    keys are keys like any other; a key that occurs twice in a version raises.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    types = value_types(list(versions.values()), keys) if types is None else types
+    names = list(versions)
+    fields = [T.StructField(n, t) for n, t in types.items()] or [T.StructField(PRESENT, T.BooleanType())]
+    absent = F.lit(None).cast(T.StructType(fields))
+    parts = []
+    for name, df in versions.items():
+        row = row_struct(df, types)
+        parts.append(df.select(*keys, *[(row if n == name else absent).alias(n) for n in names]))
+    stacked = reduce(DataFrame.unionByName, parts).repartition(*keys)
+
+    def only(name: str) -> Column:
+        twice = F.raise_error(F.concat(F.lit(f"keys {keys} are not unique in {name}: "), F.to_json(F.struct(*keys))))
+        return F.when(F.count(name) > 1, twice).otherwise(F.any_value(name, ignoreNulls=F.lit(True)))
+
+    return stacked.groupBy(*keys).agg(*[only(n).alias(n) for n in names]), types

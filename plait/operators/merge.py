@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 
 from ..functions.canonical import as_text, comparable, struct_text
 from .diff import diff_rows, differs
-from .keys import key_text, row_struct, value_types
+from .keys import align, key_text, row_struct, value_types
 
 ADD, DELETE, MODIFY, SKIP = "add", "delete", "modify", "skip"
 THEIRS_DELETED, OURS_DELETED = "theirs_deleted", "ours_deleted"
@@ -29,29 +29,6 @@ COUNTS = ("rows_added", "rows_removed", "rows_modified", "conflict_count")
 STRATEGIES = ("manual", "abort", "ours", "theirs")
 
 
-def align(
-    versions: dict[str, DataFrame], keys: list[str]
-) -> tuple[DataFrame, dict[str, T.DataType]]:
-    """One row per key with a struct per version (NULL = row absent there).
-
-    The union is shuffled once; the aggregation then runs on that partitioning.
-    """
-    types = value_types(list(versions.values()), keys)
-    names = list(versions)
-    parts = []
-    for name, df in versions.items():
-        row = row_struct(df, types)
-        absent = F.lit(None).cast(
-            T.StructType([T.StructField(n, t) for n, t in types.items()])
-        )
-        parts.append(
-            df.select(*keys, *[(row if n == name else absent).alias(n) for n in names])
-        )
-    stacked = reduce(DataFrame.unionByName, parts).repartition(*keys)
-    together = [F.any_value(n, ignoreNulls=F.lit(True)).alias(n) for n in names]
-    return stacked.groupBy(*keys).agg(*together), types
-
-
 @dataclass(frozen=True)
 class MergePlan:
     """Aligned and classified rows: keys, base, ours, theirs, outcome, taken, conflicts."""

@@ -54,21 +54,13 @@ def top_groups(df: DataFrame, by: list[str], limit: int) -> DataFrame:
 
 
 def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    left_on: str,
-    right_on: str,
-    name: str,
-    max_matches: int = 100_000,
+    left: DataFrame, right: DataFrame, left_on: str, right_on: str, name: str
 ) -> DataFrame:
     """Left outer join with the matches as an array column.
 
-    An array is one value of one row. A key with more than ``max_matches``
-    matches raises; :func:`lookup_rows` gives the same matches as rows.
+    An array is one value of one row, for keys known to have few matches;
+    :func:`lookup_rows` and :func:`lookup_agg` take keys of any size.
     """
-    sizes = right.groupBy(right_on).agg(F.count("*").alias("n"))
-    if not sizes.where(F.col("n") > max_matches).isEmpty():
-        raise ValueError("a key has too many matches for an array, use lookup_rows")
     matches = right.groupBy(F.col(right_on).alias("__k")).agg(
         F.collect_list(F.struct(*right.columns)).alias(name)
     )
@@ -86,6 +78,15 @@ def lookup_one(
     return left.join(first, F.col(left_on) == F.col("__k"), "left").drop("__k")
 
 
+def lookup_agg(
+    left: DataFrame, right: DataFrame, left_on: str, right_on: str, **aggregates: Column
+) -> DataFrame:
+    """Left outer join with aggregates of the matches, combined before the shuffle."""
+    named = [c.alias(n) for n, c in aggregates.items()]
+    found = right.groupBy(F.col(right_on).alias("__k")).agg(*named)
+    return left.join(found, F.col(left_on) == F.col("__k"), "left").drop("__k")
+
+
 def lookup_rows(
     left: DataFrame, right: DataFrame, left_on: str, right_on: str, keep_unmatched: bool = True
 ) -> DataFrame:
@@ -215,19 +216,13 @@ def table_rows(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def table_bytes(tables: dict[str, DataFrame]) -> DataFrame:
-    """Stored bytes per table, from file metadata; no column is read."""
+    """Stored bytes per table, from a listing of its files; no content is read."""
     parts = None
     for name, df in tables.items():
-        files = df.select(
-            F.lit(name).alias("table"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_size").alias("size"),
-        )
+        files = df.sparkSession.read.format("binaryFile").load(df.inputFiles())
+        files = files.select(F.lit(name).alias("table"), "length")
         parts = files if parts is None else parts.union(files)
-    sizes = parts.groupBy("table", "file").agg(F.max("size").alias("size"))
-    return sizes.groupBy("table").agg(
-        F.sum("size").alias("bytes"), F.count("*").alias("files")
-    )
+    return parts.groupBy("table").agg(F.sum("length").alias("bytes"), F.count("*").alias("files"))
 
 
 def system_status(branches: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def r7(spark, sf):
     )
     base = fresh_path(spark, "requests")
     saved = f.save_feed(f.once_per_request(requests), f"{base}/rows", f"{base}/checkpoint")
-    return saved.select("request_id").distinct()
+    return saved.select("request_id")
 
 
 @query(

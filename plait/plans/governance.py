@@ -147,7 +147,7 @@ def h3_hash(spark, sf):
 )
 def h3_branch(spark, sf):
     entries = _entries(spark, sf).withColumnRenamed("actor", "branch")
-    return a.by_branch(entries, "u5").select("event_id", "ts")
+    return a.by_branch(entries, "u5", limit=50).select("event_id", "ts")
 
 
 @query(
@@ -237,7 +237,7 @@ def j5(spark, sf):
 @query(
     "g4_write_permission",
     f"""WITH {_NAMED} SELECT n.id, n.branch, NOT coalesce(merge_only AND NOT is_merge, false) AS allowed,
-        CASE WHEN merge_only AND NOT is_merge THEN 'Branch "' || branch || '" is protected (matches rule "' || pattern || '"). Only merges are allowed.' END AS reason
+        CASE WHEN merge_only AND NOT is_merge THEN 'Branch "' || branch || '": rule "' || pattern || '" lets merges through only' END AS reason
         FROM names n LEFT JOIN firsts f USING (id)""",
 )
 def g4(spark, sf):
@@ -266,9 +266,9 @@ _SCOPES = "scopes(agent, permissions, allowed_tables, denied, max_branches) AS (
 _REQ = """req AS (SELECT event_id AS id, 'agent-' || (user_id % 5) AS agent, event_type AS "table",
   CASE WHEN value < 20 THEN 'read' WHEN value < 60 THEN 'write' ELSE 'delete' END AS op, ts, user_id FROM events)"""
 _SCOPE_REASON = """CASE WHEN permissions IS NULL THEN NULL
-  WHEN NOT list_contains(permissions, op) THEN 'Agent "' || agent || '" lacks "' || op || '" permission'
-  WHEN list_contains(denied, "table") THEN 'Table "' || "table" || '" is denied for agent "' || agent || '"'
-  WHEN allowed_tables IS NOT NULL AND NOT list_contains(allowed_tables, "table") THEN 'Table "' || "table" || '" is not in allowed list for agent "' || agent || '"' END"""
+  WHEN NOT list_contains(permissions, op) THEN 'Agent "' || agent || '" was not granted "' || op || '" rights'
+  WHEN list_contains(denied, "table") THEN 'Table "' || "table" || '" is closed to agent "' || agent || '"'
+  WHEN allowed_tables IS NOT NULL AND NOT list_contains(allowed_tables, "table") THEN 'Table "' || "table" || '" is not among the tables of agent "' || agent || '"' END"""
 
 
 def _scopes(spark) -> DataFrame:
@@ -303,7 +303,7 @@ def g1(spark, sf):
     "g2_branch_quota",
     f"""WITH {_SCOPES}, c AS (SELECT 'agent-' || c_nationkey AS agent, count(*) AS branches FROM customer GROUP BY 1)
         SELECT agent, branches, NOT coalesce(max_branches > 0 AND branches >= max_branches, false) AS allowed,
-        CASE WHEN max_branches > 0 AND branches >= max_branches THEN 'Agent "' || agent || '" has reached max branches (' || max_branches || ')' END AS reason
+        CASE WHEN max_branches > 0 AND branches >= max_branches THEN 'Agent "' || agent || '" already owns its share of branches (' || max_branches || ')' END AS reason
         FROM c LEFT JOIN scopes USING (agent)""",
 )
 def g2(spark, sf):
@@ -320,15 +320,15 @@ def g2(spark, sf):
 def g3(spark, sf):
     checked = gv.check_permission(_requests(spark, sf), _scopes(spark))
     log = gv.violations(checked, F.col("ts")).drop("ts", "user_id")
-    return gv.newest_violations(log, "agent-2")
+    return gv.newest_violations(log, "agent-2", limit=50)
 
 
 @query(
     "g5_write_gate",
     f"""WITH {_SCOPES}, {_REQ}, {_NAMED},
-        w AS (SELECT r.*, n.branch, f.pattern, f.merge_only, n.branch IN (SELECT branch FROM names WHERE is_merge) AS ro
-              FROM req r JOIN names n ON n.id = r.user_id LEFT JOIN firsts f ON f.id = n.id),
-        x AS (SELECT w.id, w.branch, w.ro, CASE WHEN merge_only THEN 'Branch "' || branch || '" is protected (matches rule "' || pattern || '"). Only merges are allowed.' END AS prot,
+        w AS (SELECT r.*, n.branch, f.pattern, f.merge_only, coalesce(n.branch IN (SELECT branch FROM names WHERE is_merge), false) AS ro
+              FROM req r LEFT JOIN names n ON n.id = r.user_id LEFT JOIN firsts f ON f.id = n.id),
+        x AS (SELECT w.id, w.branch, w.ro, CASE WHEN merge_only THEN 'Branch "' || branch || '": rule "' || pattern || '" lets merges through only' END AS prot,
               {_SCOPE_REASON} AS sc FROM w LEFT JOIN scopes USING (agent))
         SELECT id, CASE WHEN ro THEN 'read_only' WHEN prot IS NOT NULL THEN 'protection' WHEN sc IS NOT NULL THEN 'scope' END AS gate,
                NOT ro AND prot IS NULL AND sc IS NULL AS allowed,
@@ -339,7 +339,7 @@ def g5(spark, sf):
     target = names.select(F.col("id").alias("__n"), "branch")
     requests = (
         _requests(spark, sf)
-        .join(target, F.col("user_id") == F.col("__n"))
+        .join(target, F.col("user_id") == F.col("__n"), "left")
         .select("id", "agent", "branch", "table", "op")
     )
     read_only = names.where("is_merge").select("branch")

@@ -210,6 +210,21 @@ def j6(spark, sf):
     return h.resolve_as_of(graph, probes).drop("ts")
 
 
+@query(
+    "j6_as_of_null_time",
+    f"""WITH {GRAPH}, probes AS (SELECT l_orderkey, l_linenumber, 'b' || l_partkey AS branch,
+          CASE WHEN l_linenumber <> 3 THEN l_shipdate END AS "at" FROM lineitem),
+        latest AS (SELECT branch, ts, max(hash) AS hash FROM commits GROUP BY branch, ts)
+        SELECT p.*, c.hash FROM probes p ASOF LEFT JOIN latest c ON p.branch = c.branch AND p."at" >= c.ts""",
+)
+def j6_null(spark, sf):
+    probes = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", _id("b", "l_partkey").alias("branch"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_shipdate")).alias("at"),
+    )
+    return h.resolve_as_of(commit_graph(spark, sf), probes).drop("ts")
+
+
 @query(
     "j7_ever_existed",
     """SELECT 'b' || c_custkey AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""",
@@ -443,7 +458,7 @@ _REFLOG = """reflog AS (SELECT o_orderkey AS id, 'b' || o_custkey AS branch, CAS
     f"WITH {_REFLOG} SELECT * FROM reflog WHERE branch = 'b7' ORDER BY ts DESC, id DESC LIMIT 50",
 )
 def t19(spark, sf):
-    return h.reflog_entries(_reflog(spark, sf), branch="b7")
+    return h.reflog_entries(_reflog(spark, sf), branch="b7", limit=50)
 
 
 @query(
@@ -451,7 +466,7 @@ def t19(spark, sf):
     f"WITH {_REFLOG} SELECT * FROM reflog WHERE action = 'merge' ORDER BY ts DESC, id DESC LIMIT 50",
 )
 def t19_action(spark, sf):
-    return h.reflog_entries(_reflog(spark, sf), action="merge")
+    return h.reflog_entries(_reflog(spark, sf), action="merge", limit=50)
 
 
 @query(
@@ -476,7 +491,7 @@ def t20(spark, sf):
     f"""WITH {_HISTORY} SELECT "timestamp", "branchName", event FROM hist ORDER BY "timestamp" DESC, "branchName" DESC LIMIT 50""",
 )
 def t20_all(spark, sf):
-    return h.all_history(history_rows(spark, sf)).select("timestamp", "branchName", "event")
+    return h.all_history(history_rows(spark, sf), limit=50).select("timestamp", "branchName", "event")
 
 
 # --- drift and deploy requests ----------------------------------------------------------------

@@ -140,7 +140,7 @@ def _documents(spark, sf):
             .alias("seen"),
         )
     )
-    return e.select("event_id", "event_type", "props", doc.alias("doc"))
+    return e.select("event_id", "event_type", "user_id", "props", doc.alias("doc"))
 
 
 @query(
@@ -151,21 +151,16 @@ def _documents(spark, sf):
        AND user_id % 5 = 2 AND event_id > user_id""",
 )
 def f6(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "user_id")
     docs = _documents(spark, sf).where(
         F.col("event_type").isin("purchase", "click", "view")
         & F.rlike("event_type", F.lit("^[cpv].*[ewk]$"))
+        & p.remainder_is(F.col("user_id"), 5, 2)
+        & (F.col("event_id") > F.col("user_id"))
     )
-    return (
-        docs.join(
-            e.where(p.remainder_is(F.col("user_id"), 5, 2) & (F.col("event_id") > F.col("user_id"))),
-            "event_id",
-        )
-        .select(
-            "event_id",
-            p.json_type(F.col("doc"), "amount").alias("amount_type"),
-            p.json_type(F.col("doc"), "path").alias("path_type"),
-        )
+    return docs.select(
+        "event_id",
+        p.json_type(F.col("doc"), "amount").alias("amount_type"),
+        p.json_type(F.col("doc"), "path").alias("path_type"),
     )
 
 
@@ -237,14 +232,36 @@ def f12(spark, sf):
     )
 
 
-@query("f13_sample")
+@query(
+    "f13_sample",
+    "SELECT least(100, count(*)) AS rows, least(100, count(*)) AS known, least(100, count(*)) AS keys FROM orders",
+)
 def f13(spark, sf):
-    return q.sample_rows(table(spark, sf, "orders"), 100, seed=7)
+    """How large a sample is, how many of its rows are orders, and how many keys it has."""
+    orders = table(spark, sf, "orders")
+    drawn = q.sample_rows(orders, 100, seed=7)
+    known = drawn.join(orders.select("o_orderkey", F.col("o_custkey").alias("__c")), "o_orderkey").where("o_custkey = __c")
+    return drawn.agg(F.count("*").alias("rows"), F.countDistinct("o_orderkey").alias("keys")).join(
+        known.agg(F.count("*").alias("known"))
+    )
 
 
 # --- lookups ----------------------------------------------------------------------
 
 
+@query(
+    "j1_lookup_counts",
+    """SELECT c_custkey, coalesce(count(o_orderkey), 0) AS orders, max(o_orderkey) AS last_order
+       FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
+)
+def j1_counts(spark, sf):
+    found = q.lookup_agg(
+        table(spark, sf, "customer"), table(spark, sf, "orders"), "c_custkey", "o_custkey",
+        orders=F.count("*"), last_order=F.max("o_orderkey"),
+    )
+    return found.select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), "last_order")
+
+
 @query(
     "j1_lookup",
     """SELECT n_nationkey, n_name, CAST(count(r_regionkey) AS INT) AS regions, max(r_name) AS region
@@ -517,6 +534,25 @@ def w4(spark, sf):
     return q.rank_rows(li, ["l_returnflag"], "l_quantity")
 
 
+@query(
+    "w4_rank_nulls",
+    """SELECT o_orderkey, o_orderstatus, x, rank() OVER (PARTITION BY o_orderstatus ORDER BY x DESC NULLS LAST) AS "rank"
+       FROM (SELECT o_orderkey, o_orderstatus, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS x FROM orders)""",
+)
+def w4_nulls(spark, sf):
+    x = F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("x")
+    return q.rank_rows(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", x), ["o_orderstatus"], "x")
+
+
+@query(
+    "w4_rank_date",
+    """SELECT o_orderkey, o_orderpriority, o_orderdate, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS "rank" FROM orders""",
+)
+def w4_date(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    return q.rank_rows(o, ["o_orderpriority"], "o_orderdate", descending=False)
+
+
 @query(
     "w5_latest_per_group",
     """SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM (SELECT *, row_number() OVER

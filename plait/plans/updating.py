@@ -150,10 +150,11 @@ def c7(spark, sf):
     return new.withColumn("tags", F.array_join("tags", ","))
 
 
-@query("c7_current_date")
+@query("c7_current_date", "SELECT p_partkey, true AS is_now FROM part")
 def c7_date(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.lit(None).cast("timestamp").alias("at"))
-    return c.assign(part, {"at": F.current_timestamp()}, F.lit(True))
+    dated = c.assign(part, {"at": F.current_timestamp()}, F.lit(True))
+    return dated.select("p_partkey", (F.col("at") == F.current_timestamp()).alias("is_now"))
 
 
 @query(
@@ -195,11 +196,11 @@ _W = "w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents)"
         len([x for x in a if NOT starts_with(x, 't')]) AS pulled,
         len([x for x in a if x NOT IN ('the', 'of')]) AS pulled_all,
         len(a) + CASE WHEN list_contains(a, 'the') THEN 0 ELSE 1 END + CASE WHEN list_contains(a, 'zzz') THEN 0 ELSE 1 END AS with_set,
-        a[2] AS popped_first, a[len(a) - 1] AS popped_last FROM w WHERE len(a) >= 2""",
+        a[2] AS popped_first, a[len(a) - 1] AS popped_last FROM w""",
 )
 def c8_arrays(spark, sf):
     a = F.split("text", " ", -1)
-    docs = table(spark, sf, "documents").select("doc_id", a.alias("a")).where(F.size("a") >= 2)
+    docs = table(spark, sf, "documents").select("doc_id", a.alias("a"))
     words = F.col("a")
     return docs.select(
         "doc_id",
@@ -207,7 +208,7 @@ def c8_arrays(spark, sf):
         F.size(u.pull_all(words, ["the", "of"])).cast("long").alias("pulled_all"),
         F.size(u.add_to_set(words, ["the", "zzz"])).cast("long").alias("with_set"),
         F.get(u.pop(words, first=True), 0).alias("popped_first"),
-        F.element_at(u.pop(words), -1).alias("popped_last"),
+        F.get(u.pop(words), F.size(u.pop(words)) - 1).alias("popped_last"),
     )
 
 
@@ -296,7 +297,7 @@ def c9(spark, sf):
     f"WITH {LOG} SELECT seq, user_id, op, after FROM log WHERE user_id = 3 ORDER BY seq LIMIT 1000",
 )
 def c10(spark, sf):
-    return c.op_log(account_log(spark, sf), F.col("user_id") == 3).select(
+    return c.op_log(account_log(spark, sf), F.col("user_id") == 3, limit=1000).select(
         "seq", "user_id", "op", F.col("after.balance").alias("after")
     )
 
@@ -336,6 +337,18 @@ def c11(spark, sf):
     return c.undo_last(c.replay(log, ACCOUNT), log, 300, ACCOUNT)[0]
 
 
+@query(
+    "c11_undo_batch",
+    "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'first' ELSE c_mktsegment END AS c_mktsegment FROM customer",
+)
+def c11_batch(spark, sf):
+    """One update of many rows is one operation."""
+    old = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    once, first = c.update(old, F.col("c_mktsegment") == "BUILDING", {"c_mktsegment": F.lit("first")}, KEY, 1)
+    twice, second = c.update(once, F.col("c_custkey") % 3 == 0, {"c_mktsegment": F.lit("second")}, KEY, 2)
+    return c.undo_last(twice, first.union(second), 1, KEY)[0]
+
+
 @query(
     "c11_undo_last_log",
     f"WITH {LOG} SELECT seq, user_id FROM log WHERE seq NOT IN (SELECT seq FROM log ORDER BY seq DESC LIMIT 300)",

@@ -341,7 +341,7 @@ class Store:
         """All tables of a commit."""
         return {n: self._load(e) for n, e in _entries(self._commit_row(value)["snapshot"]).items()}
 
-    def log(self, name: str, limit: int | None = 50) -> DataFrame:
+    def log(self, name: str, limit: int | None = None) -> DataFrame:
         """Commits of a branch, newest first."""
         heads = self.spark.createDataFrame(
             [(name, self.branch(name).head_commit)], "branch string, hash string"
@@ -381,8 +381,10 @@ class Store:
             raise KeyError(f'no commit found for "{at}" on branch "{name}"')
         entries = _entries(rows[0]["snapshot"])
         if table not in entries:
-            seen = self.table(name, table)
-            return seen.limit(0)
+            try:
+                return self.table(name, table).limit(0)
+            except KeyError:  # gone from the branch too: nothing found
+                return self.spark.range(0).select()
         return query.find_exact(self._load(entries[table]), values or {})
 
     def tables_at(self, name: str, at: str) -> list[str]:
@@ -585,7 +587,7 @@ class Store:
         if not rows:
             raise KeyError(f'checkpoint "{id}" not found on branch "{name}"')
         tables = {n: e for n, e in _entries(rows[0]["tables"]).items() if e.row_count}
-        found = self.log(name, 1000).where(F.col("hash") == rows[0]["commit_hash"]).collect()
+        found = self.log(name).where(F.col("hash") == rows[0]["commit_hash"]).collect()
         self._save(replace(self.branch(name), tables=tables), "restore")
         return {
             "tables_restored": len(tables),

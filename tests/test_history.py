@@ -36,16 +36,59 @@ def test_previous_value_and_position(skewed):
     assert all(r["p"] == (r["seq"] - 1 if r["seq"] else None) for r in whole.collect())
 
 
-def test_chunks_follow_the_order(spark):
-    rnd = random.Random(9)
-    values = [int(rnd.expovariate(1) * 1000) for _ in range(5000)] + [7] * 3000
-    for schema, data in (("v bigint", values), ("v double", [x / 7 for x in values])):
-        df = spark.createDataFrame([(x,) for x in data], schema)
-        chunk = ordered.chunk_number(df, "v", rows_per_chunk=10)
-        got = sorted((r["v"], r["c"]) for r in df.select("v", chunk.alias("c")).collect())
-        chunks = [c for _, c in got]
-        assert chunks == sorted(chunks) and len(set(chunks)) > 200
-    assert ordered.chunk_number(df.limit(0), "v") is not None
+@pytest.mark.parametrize("n", [10, 1_000, 100_000])
+def test_order_helpers_equal_windows(spark, n):
+    """NULLs, ties and every ordered type, at any size."""
+    key = F.when(F.col("id") % 10 != 0, (F.col("id") * 7919) % (n // 2 + 1))
+    df = spark.range(n).select(
+        "id", F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 5).cast("string")).alias("g"),
+        key.alias("num"), key.cast("string").alias("txt"), F.date_add(F.lit("2024-01-01").cast("date"), (key % 900).cast("int")).alias("day"),
+        F.timestamp_seconds(key).alias("ts"), (key / 7).cast("decimal(18,3)").alias("dec"), (key / 7).alias("dbl"),
+    )
+    for column in ["num", "txt", "day", "ts", "dec", "dbl"] if n == 1_000 else ["num", "ts"]:
+        for descending in (True, False):
+            order = F.desc(column) if descending else F.asc(column)
+            want = F.rank().over(Window.partitionBy("g").orderBy(order)).cast("long")
+            got = ordered.rank_by(df, ["g"], column, "r", descending)
+            assert got.join(df.select(F.col("id").alias("i"), want.alias("w")), F.col("id") == F.col("i")).where("r <> w").isEmpty()
+    unique = df.select("g", "id", F.when(F.col("id") != 4, F.col("id").cast("string")).alias("o"))
+    w = Window.partitionBy("g").orderBy("o")
+    want = unique.select("id", (F.row_number().over(w) - 1).alias("p"), F.lag("id").over(w).alias("b"))
+    at = ordered.position(unique, ["g"], "o", "at").join(want, "id")
+    assert at.where("at <> p").isEmpty() and at.count() == n
+    prev = ordered.previous_value(unique, ["g"], "o", F.col("id"), "prev").join(want, "id")
+    assert prev.where("NOT prev <=> b").isEmpty() and prev.count() == n
+
+
+def test_keys_are_checked(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "n"), (2, "y")], "id int, v string")
+    twice = a.union(a.where("id = 2"))
+    from plait.operators import diff as d, merge as m
+
+    assert d.diff_rows(a, a, ["id"]).isEmpty() and d.diff_added(a, a, ["id"]).isEmpty()
+    changed = a.withColumn("v", F.when(F.col("id").isNull(), "new").otherwise(F.col("v")))
+    assert rows(d.diff_fields(changed, a, ["id"])) == [(None, "v", "n", "new")]
+    for broken in (lambda: d.diff_rows(twice, a, ["id"]), lambda: m.diff3(a, twice, a, ["id"]).rows):
+        with pytest.raises(Exception, match="not unique"):
+            broken().collect()
+    only = a.select("id")
+    assert d.diff_fields(only, only.where("id = 1"), ["id"]).isEmpty()
+    assert rows(d.diff_rows(only, only.where("id = 1"), ["id"]).select("id", "change")) == [(None, "added"), (2, "added")]
+
+
+def test_as_of_without_time(spark):
+    t = datetime.datetime(2024, 1, 1)
+    versions = spark.createDataFrame([("a", "c1", t), ("a", "c2", None)], "branch string, hash string, ts timestamp_ntz")
+    probes = spark.createDataFrame([(1, "a", t), (2, "a", None), (3, None, t)], "id int, branch string, at timestamp_ntz")
+    got = h.resolve_as_of(versions, probes)
+    assert rows(got.select("id", "hash")) == [(1, "c1"), (2, None), (3, None)]
+
+
+def test_lookup_of_many(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.range(100_001).select(F.lit(1).alias("rk"), "id")
+    assert rows(q.lookup(left, right, "k", "rk", "m").select("k", F.size("m"))) == [(1, 100_001), (2, 0)]
+    assert rows(q.lookup_agg(left, right, "k", "rk", n=F.count("*"))) == [(1, 100_001), (2, None)]
 
 
 def test_shared_folder(spark):
@@ -264,9 +307,11 @@ def test_writes_and_undo(spark, people):
     log = log1.union(log2).union(log3).union(log4)
     assert rows(c.op_summary(log)) == [(1, 4, 1, 6)]
     assert rows(four.select("name")) == [("ANN",), ("CID",), ("DEE",)]
-    back, rest = c.undo_last(four, log, 3, ["id"])
+    back, rest = c.undo_last(four, log, 1, ["id"])
     assert rows(back) == rows(three) and rest.count() == 3
-    back, rest = c.undo_last(four, log, 6, ["id"])
+    back, rest = c.undo_last(four, log, 0, ["id"])
+    assert rows(back) == rows(four) and rest.count() == 6
+    back, rest = c.undo_last(four, log, 4, ["id"])
     assert rows(back) == rows(people) and rest.isEmpty()
     with pytest.raises(ValueError, match="key exists"):
         c.insert(people, people.limit(1), ["id"], 5)

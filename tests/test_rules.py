@@ -141,7 +141,7 @@ def test_names_and_globs(spark):
     req = spark.createDataFrame([("prod-1", False), ("prod-1", True), ("dev", False)], "branch string, is_merge boolean")
     assert rows(gv.check_write(req, rules)) == [
         ("dev", False, True, None),
-        ("prod-1", False, False, 'Branch "prod-1" is protected (matches rule "prod-*"). Only merges are allowed.'),
+        ("prod-1", False, False, 'Branch "prod-1": rule "prod-*" lets merges through only'),
         ("prod-1", True, True, None),
     ]
 
@@ -160,9 +160,9 @@ def test_scopes_quota_gate(spark):
     read_only = spark.createDataFrame([("ro",)], "branch string")
     got = {r["id"]: (r["allowed"], r["gate"], r["reason"]) for r in gv.write_gate(req, read_only, protections, scopes).collect()}
     assert got[1][:2] == (False, "protection")
-    assert got[2] == (False, "scope", 'Table "orders" is not in allowed list for agent "pricing"')
-    assert got[3] == (False, "scope", 'Agent "pricing" lacks "delete" permission')
-    assert got[4] == (False, "scope", 'Table "orders" is denied for agent "deny"')
+    assert got[2] == (False, "scope", 'Table "orders" is not among the tables of agent "pricing"')
+    assert got[3] == (False, "scope", 'Agent "pricing" was not granted "delete" rights')
+    assert got[4] == (False, "scope", 'Table "orders" is closed to agent "deny"')
     assert got[5] == (False, "read_only", 'Branch "ro" is read-only')
     assert got[6] == (True, None, None)
     counts = spark.createDataFrame([("pricing", 2), ("deny", 50), ("free", 50)], "agent string, branches int")
