@@ -123,8 +123,10 @@ def mix(docs: DataFrame, keep: list[str] = ["doc_id"], block: int = 1024, seed:
     source; repeated rows are documents of their own; equal input gives equal output.
     """
     chosen = [F.col(c).cast("long").alias(c) for c in keep]
+    # The order hangs on what a document is, not on where its row happens to stand.
+    own = F.xxhash64(F.lit(seed), F.xxhash64("text"), *([F.col("doc_id")] if "doc_id" in docs.columns else keep))
     rows = docs.select(*chosen, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-                       F.xxhash64(F.lit(seed), F.xxhash64("text"), *keep).alias("mixed"))
+                       own.alias("mixed"))
     rows = written(rows, "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = targets(sums.select("source", "source_size"))
