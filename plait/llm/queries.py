@@ -76,4 +76,27 @@ QUERIES = {
     "op9_vector_forest": op9_vector_forest,
     "op10_personal_data": op10_personal_data,
 }
-SQL: dict[str, str] = {}
+# Vectors whose components are all there and finite.
+_GOOD = """embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"""
+
+# The other operators are no SQL: their tests hold them against brute force.
+SQL = {
+    "op6_impact_top_k": f"""
+        WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
+                   FROM embeddings WHERE vec_id IS NOT NULL AND {_GOOD}),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_sum([p[1] * p[2] for p in list_zip(q.e, c.e)]) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank",
+                     vec_id, score FROM s)
+        SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10""",
+    "op9_vector_forest": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                             WHERE {_GOOD} AND len([x for x in embedding if x <> 0]) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+                  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+        FROM embeddings e JOIN reach r ON r.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id GROUP BY e.vec_id""",
+}
