@@ -11,7 +11,7 @@ from .common import batch_of, raw_bytes, slices, unused
 UNDETERMINED = "und"
 ORDER = 3  # the longest context, in bytes
 UNIT = 1 << 12  # code lengths are whole numbers of 1/4096 bit
-SLICE = 4 << 20
+SLICE = 1 << 19
 
 
 def _fold() -> np.ndarray:
