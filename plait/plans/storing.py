@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,8 +34,8 @@ def _store(spark, sf) -> Store:
         store = Store(spark, fresh_path(spark, "store"))
         store.init(
             {
-                "customer": (table(spark, sf, "customer").drop("c_acctbal"), ["c_custkey"]),
-                "supplier": (table(spark, sf, "supplier").drop("s_acctbal"), ["s_suppkey"]),
+                "customer": (table(spark, sf, "customer"), ["c_custkey"]),
+                "supplier": (table(spark, sf, "supplier"), ["s_suppkey"]),
             }
         )
         _STORES[key] = store.root
@@ -52,9 +53,19 @@ def _edit(store: Store, branch: str) -> None:
     store.write(branch, "customer", c.withColumn("c_mktsegment", segment))
 
 
-_EDITED = """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END AS c_mktsegment
+_EDITED = """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END AS c_mktsegment, c_acctbal
   FROM customer WHERE c_mktsegment <> 'FURNITURE'"""
-_PLAIN = "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer"
+_PLAIN = "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal FROM customer"
+
+
+_COUNTS = """SELECT 'customer' AS "table", count(*) AS row_count FROM customer
+  UNION ALL SELECT 'supplier', count(*) FROM supplier"""
+
+
+def _counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Each table by name with its number of rows."""
+    parts = [df.agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table"), "row_count") for t, df in tables.items()]
+    return reduce(DataFrame.union, parts)
 
 
 @query("s1_read_branch", _EDITED)
@@ -79,13 +90,13 @@ def s2(spark, sf):
 
 @query(
     "s3_list_tables",
-    "SELECT 'customer' AS \"table\" UNION ALL SELECT 'supplier' UNION ALL SELECT 'nation'",
+    f"{_COUNTS} UNION ALL SELECT 'nation', count(*) FROM nation",
 )
 def s3(spark, sf):
     store, name = _store(spark, sf), _name()
     store.create_branch(name, lazy=True)
     store.write(name, "nation", table(spark, sf, "nation"), ["n_nationkey"])
-    return spark.createDataFrame([(t,) for t in store.list_tables(name)], "table string")
+    return _counts({t: store.table(name, t) for t in store.list_tables(name)})
 
 
 @query("s4_copy_table", _PLAIN)
@@ -105,7 +116,7 @@ def s6(spark, sf):
 
 @query(
     "s10_ingest",
-    f"{_PLAIN} UNION ALL SELECT -s_suppkey - 1, s_name, s_nationkey, 'SUPPLY' FROM supplier",
+    f"{_PLAIN} UNION ALL SELECT -s_suppkey - 1, s_name, s_nationkey, 'SUPPLY', s_acctbal FROM supplier",
 )
 def s10(spark, sf):
     from ..operators.changes import insert
@@ -114,7 +125,7 @@ def s10(spark, sf):
     store.create_branch(name)
     rows = store.table(name, "supplier").selectExpr(
         "-s_suppkey - 1 AS c_custkey", "s_name AS c_name", "s_nationkey AS c_nationkey",
-        "'SUPPLY' AS c_mktsegment",
+        "'SUPPLY' AS c_mktsegment", "s_acctbal AS c_acctbal",
     )
     store.write(name, "customer", insert(store.table(name, "customer"), rows, ["c_custkey"], 1)[0])
     return store.table(name, "customer")
@@ -127,7 +138,7 @@ def s11(spark, sf):
     return store.table(name, "customer")
 
 
-@query("s12_partial_branch", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+@query("s12_partial_branch", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def s12(spark, sf):
     store, name = _store(spark, sf), _name()
     store.create_branch(name, tables=["supplier"])
@@ -151,14 +162,15 @@ def t1(spark, sf):
 
 @query(
     "t8_tables_at",
-    "SELECT 'customer' AS \"table\" UNION ALL SELECT 'supplier'",
+    _COUNTS,
 )
 def t8(spark, sf):
     store, name = _store(spark, sf), _name()
     store.create_branch(name)
     store.write(name, "empty", table(spark, sf, "nation").limit(0), ["n_nationkey"])
     made = store.commit(name, "with an empty table")
-    return spark.createDataFrame([(t,) for t in store.tables_at(name, made)], "table string")
+    held = store.read_at(made)
+    return _counts({t: held[t] for t in store.tables_at(name, made)})
 
 
 @query(
