@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+SEED = 42
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,6 +27,20 @@ def raw_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()
 
 
+def shingle_hashes(words: list[bytes], width: int) -> list[int]:
+    """XXH64 of every shingle; a short text is one shingle."""
+    if not words:
+        return []
+    digest = xxhash.xxh64_intdigest
+    line = memoryview(b" ".join(words))
+    if len(words) <= width:
+        return [digest(line, SEED)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths)
+    starts = (ends - lengths)[: len(words) - width + 1].tolist()
+    return [digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+
+
 def batch_of(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[f.name], type=f.type) for f in schema], schema=schema

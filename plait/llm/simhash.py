@@ -4,34 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
-from .common import batch_of, raw_bytes, slices, unused
+from . import minhash
+from .common import batch_of, raw_bytes, shingle_hashes, slices, unused
 from .components import components
 
-SEED = 42
 SLICE = 1 << 20
 
 
-def _hashes(words: list[bytes], width: int) -> list[int]:
-    """XXH64 of every shingle; a short text is one shingle."""
-    if not words:
-        return []
-    digest = xxhash.xxh64_intdigest
-    line = memoryview(b" ".join(words))
-    if len(words) <= width:
-        return [digest(line, SEED)]
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(lengths)
-    starts = (ends - lengths)[: len(words) - width + 1].tolist()
-    return [digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
-
-
 def _fingerprints(texts: list[bytes | None], width: int) -> np.ndarray:
     """Bit i is 1 if it is 1 in over half of the text's shingle hashes."""
-    found = [_hashes((t or b"").lower().split(), width) for t in texts]
+    found = [shingle_hashes((t or b"").lower().split(), width) for t in texts]
     counts = np.array([len(h) for h in found])
     out = np.zeros(len(texts), np.uint64)
     some = np.flatnonzero(counts)
@@ -156,23 +141,18 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """One document of each class: the one with the smallest id, whole, all columns.
 
+    Classes are those of ``minhash.classes``: links are exact similarities of ``least`` or
+    more over ``width`` words, which no radius of fingerprints finds at a bounded cost.
     Rows are told apart by their place in ``docs``, so of repeated rows one stays too.
     ``docs`` has to be read the same way twice, as files are.
     """
     row = unused(docs, "_row")
     placed = docs.withColumn(row, F.monotonically_increasing_id())
-    fps = written(
-        fingerprints(placed.withColumn("doc_id", F.col("doc_id").cast("long")), width, ["doc_id", row]),
-        "fingerprints",
-    )
-    found = classes(fps).select(F.col("fp").alias("_fp"), "component_id")
-    joined = fps.join(found, F.col("fp") == F.col("_fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")
-    # A class without any id is told by its fingerprints' component, not by the null.
-    stays = joined.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first)
-    kept = written(stays.select(F.col(f"first.{row}").alias("_kept")), "kept")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    stays = minhash.classes(placed, row, width, least).groupBy("component").agg(first)
+    kept = written(stays.select(F.col("first.row").alias("_kept")), "kept")
     # The same plan at every size: what stays is most of the table, never a small side.
     return placed.join(kept.hint("merge"), F.col(row) == F.col("_kept"), "left_semi").drop(row)

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from plait.llm import forest, impact, simhash
+from plait.llm import forest, impact, minhash, simhash
 from plait.llm.components import components
 from plait.llm.queries import QUERIES
 
@@ -107,6 +108,36 @@ def test_keep_one(spark, tmp_path):
          (None, "quite another one", "z")], key=str)
 
 
+def near_copies(rng, groups, size, most):
+    """Groups of copies of a text of 150 words, each with up to ``most`` of them changed."""
+    texts = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        texts += [" ".join(w if rng.random() > share else f"v{rng.randrange(5000)}" for w in base)
+                  for share in [rng.random() * most for _ in range(size)]]
+    return texts
+
+
+@pytest.mark.parametrize("groups, size, most, block", [(60, 4, 0.03, 256), (2, 150, 0.06, 16)])
+def test_near_copies_are_found(spark, tmp_path, monkeypatch, groups, size, most, block):
+    """The stage's classes against all pairs, where a group lies in one bucket and where it is cut."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    texts = near_copies(random.Random(groups), groups, size, most)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i)
+             if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    top = least_reachable(links, range(len(texts)))
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    want = {i for i, t in top.items() if i == t}
+    assert want <= kept and len(kept - want) <= 0.01 * len(texts) and len(want) < 0.8 * len(texts)
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = {r.doc_id: r.component for r in minhash.classes(placed, "_row").collect()}
+    assert sum(found[i] == found[j] for i, j in links) >= 0.995 * len(links) > 50
+
+
 def test_simhash_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     check_simhash(rows, QUERIES["op8_simhash_duplicates"](spark, sf).collect())
