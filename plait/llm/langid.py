@@ -252,8 +252,12 @@ def keep_languages(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
     Rejected are texts without letters and those that the best model codes in
     ``most_bits`` a byte or more, that is no better than unread bytes. A row without
     ``lang`` gets the language found. Rows pass through whole, so nothing is shuffled.
+    If no row teaches a language (``train``), nothing can be judged: every text with
+    letters stays, and ``lang`` as it is.
     """
     models = train(docs)
+    if models is None:
+        return docs.where(_lettered())
     lettered = unused(docs, "_lettered")
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 

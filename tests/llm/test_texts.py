@@ -416,6 +416,20 @@ def test_pipeline(spark, sf):
     assert again.columns == docs.columns and again.count() == docs.count()
 
 
+def test_unlabelled_texts_stay(spark, tmp_path):
+    texts = [f"some plain text number {i}" for i in range(20)] + ["12 34", "", None]
+    held = [str(i) for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1][:2]
+    for name, labels in [("none", {}), ("held-out", {int(h): "en" for h in held})]:
+        rows = [(i, t, labels.get(i), "s", 1) for i, t in enumerate(texts)]
+        rows += [(int(h), "a labelled text", "en", "s", 1) for h in held if labels]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        made = corpus_pipeline.STAGES[0][1](spark, docs, "")
+        assert made.columns == docs.columns
+        assert sorted(map(str, made.collect())) == sorted(map(str, docs.where("text rlike '[a-z]'").collect()))
+        assert made.count() >= 20
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_stages_take_odd_tables(spark, tmp_path, stage):
     rows = [(1, None, None, None, None), (None, "", None, None, 0), (2, "one two", "en", "s", 7), (2, "one two", "en", "s", 7)]
