@@ -12,6 +12,8 @@ from ..session import written
 from .common import batch_of
 from .components import components
 
+MOST_TREES = 64
+
 
 def usable(df: DataFrame, vector: str = "embedding"):
     """Condition: the vector and all its components are there and finite."""
@@ -144,6 +146,61 @@ def _places(tree: Tree, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _near_pairs(sample: np.ndarray, least: float, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both sides of pairs near the threshold, and how many of them are real.
+
+    Up to four partners of each of some sampled rows, no nearer than two fifths of the way
+    from the threshold to one; then made pairs: sampled rows moved in any direction until
+    their cosine is ``least``.
+    """
+    rng = np.random.default_rng(seed)
+    chosen = rng.permutation(len(sample))[:2048]
+    a, b = [], []
+    for begin in range(0, len(chosen), 128):
+        own = chosen[begin : begin + 128]
+        cosine = sample[own] @ sample.T
+        near = (cosine >= least) & (cosine < least + 0.4 * (1 - least))
+        for row, partners in zip(own, map(np.flatnonzero, near)):
+            partners = rng.permutation(partners)[:4]
+            a.append(np.full(len(partners), row))
+            b.append(partners)
+    a, b = np.concatenate(a), np.concatenate(b)
+    base = sample[chosen[:512]]
+    aside = rng.standard_normal(base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    length = np.sqrt((aside**2).sum(1, keepdims=True))
+    aside /= np.where(length > 0, length, 1)
+    moved = least * base + math.sqrt(1 - least**2) * aside
+    return np.concatenate([sample[a], base]), np.concatenate([sample[b], moved]), len(a)
+
+
+def _grown(sample: np.ndarray, depth: int, spill: float, least: float, recall: float, seed: int) -> list[Tree]:
+    """Trees in which ``recall`` of the sample's pairs near the threshold meet.
+
+    How often a split parts a pair depends on how dense the rows lie, so it is measured.
+    At least as many trees are grown as isotropic rows need. Where that takes more than
+    ``MOST_TREES``, or more comparisons than all pairs are, the trees are made less deep;
+    without splits every pair meets.
+    """
+    if not depth:
+        return [Tree(sample, 0, spill, least, seed)]
+    a, b, real = _near_pairs(sample, least, seed)
+    while depth:
+        forest, met, work = [], np.zeros(len(a), bool), 0.0
+        fewest = trees_for(depth, math.acos(least) / math.pi, recall)
+        while len(forest) < MOST_TREES and work < 1:
+            tree = Tree(sample, depth, spill, least, seed + len(forest))
+            forest.append(tree)
+            work += ((np.bincount(tree.leaves(sample)[1]) / len(sample)) ** 2).sum()
+            left, right = _places(tree, a), _places(tree, b)
+            for k in range(left.shape[1]):
+                met |= ((left[:, k, None] == right) & (left[:, k, None] >= 0)).any(1)
+            if len(forest) >= fewest and met[real:].mean() >= recall and (not real or met[:real].mean() >= recall):
+                return forest
+        depth -= 1
+    return [Tree(sample, 0, spill, least, seed)]
+
+
 def _linked(same: DataFrame, forest: list[Tree], width: int, least: float) -> DataFrame:
     """``node, links, top`` for every linked row of every leaf; copies count as links."""
     spread = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("vec", pa.binary()),
@@ -192,8 +249,8 @@ def similar_vectors(
     through trees of random splits at the medians of a sample of about ``sample_rows``
     rows. Leaves hold about ``leaf_rows`` rows, or a sixteen-fold of the table over the
     sample where that is more (raise ``sample_rows`` with the table), all rows of a leaf
-    are compared, in blocks, and the number of trees follows from the depth, so that
-    ``recall`` of the pairs at the threshold meet in a leaf. Counts need no list of
+    are compared, in blocks, and trees are added until ``recall`` of the sample's pairs
+    near the threshold meet in a leaf (``_grown``). Counts need no list of
     pairs: a pair is counted in the first leaf it shares, which each row's list of
     leaves tells, and a leaf hands on counts and one link for each linked row.
 
@@ -219,8 +276,7 @@ def similar_vectors(
         sample = _unit(_matrix(drawn.toArrow().column(0), width)) if n > leaf_rows else np.zeros((0, width))
         depth = max(0, math.ceil(math.log2(n / leaf_rows)))
         depth = min(depth, max(0, int(math.log2(max(1, len(sample)) / 16))))
-        lost = math.acos(least) / math.pi
-        forest = [Tree(sample, depth, spill, least, seed + t) for t in range(trees_for(depth, lost, recall))]
+        forest = _grown(sample, depth, spill, least, recall, seed)
         linked = _linked(same, forest, width, least)
     else:
         linked = same.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("top"))

@@ -243,6 +243,32 @@ def test_forest_recall(spark, leaf_rows):
     assert sum(got[v].component_id == c for v, _, c in want) >= 0.97 * len(want)
 
 
+def test_forest_recall_of_concentrated_rows(spark):
+    """Splits of rows with a mean cosine of 0.9 part more pairs at the threshold."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(32)
+    centre /= np.linalg.norm(centre)
+    x = centre + rng.standard_normal((4000, 32)) / np.sqrt(32) / 3
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = np.triu(unit @ unit.T, 1)
+    assert 0.88 < cosine.sum() / (4000 * 3999 / 2) < 0.92 and not (cosine >= 0.99).any()
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    sample = forest._unit(x)
+    trees = forest._grown(sample, 4, 0.02, 0.95, 0.995, 7)
+    i, j = np.nonzero((cosine >= 0.95) & (cosine < 0.97))
+    met = np.zeros(len(i), bool)
+    for tree in trees:
+        held = forest._places(tree, sample)
+        for k in range(held.shape[1]):
+            met |= ((held[i, k, None] == held[j]) & (held[i, k, None] >= 0)).any(1)
+    assert met.mean() >= 0.985 and len(i) > 1000
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in forest.similar_vectors(df, leaf_rows=250).collect()}
+    want, pairs = brute_links(rows)
+    assert all(got[v].n_links <= n for v, n, _ in want)
+    assert sum(r.n_links for r in got.values()) / 2 >= 0.985 * pairs
+
+
 def test_forest_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     want, _ = brute_links(rows)
