@@ -95,21 +95,31 @@ def trees_for(depth: int, lost: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together))) if together < 1 else 1
 
 
-def _compare(rows: np.ndarray, copies: np.ndarray, places: list[np.ndarray], leaf: int, least: float):
-    """Links of one leaf that no earlier leaf holds, by row, and each row's least partner.
-
-    ``places`` has each row's leaves, padded with -1, in all trees up to this one. A pair
-    belongs to the first tree in which it shares a leaf, and there to the smallest one.
+def _compare(
+    rows: np.ndarray, copies: np.ndarray, forest: list[Tree], leaf: int, least: float,
+    left: np.ndarray, right: np.ndarray,
+):
+    """Links between two blocks of one leaf, or within one, that no earlier leaf holds,
+    by row, and each row's least partner.
+
+    ``forest`` has all trees up to the leaf's own. A pair belongs to the first tree in
+    which it shares a leaf, and there to the smallest one.
     """
-    n = len(rows)
+    n, within = len(rows), left is right
     count, top = np.zeros(n, np.int64), np.arange(n)
-    step = max(1, (1 << 22) // max(1, n))
-    for begin in range(0, n, step):
-        i, j = np.nonzero(rows[begin : begin + step] @ rows[begin:].T >= least)
-        i, j = i[j > i] + begin, j[j > i] + begin  # each pair once
+    places = None
+    step = max(1, (1 << 22) // max(1, len(right)))
+    for begin in range(0, len(left), step):
+        others = right[begin:] if within else right
+        x, y = np.nonzero(rows[left[begin : begin + step]] @ rows[others].T >= least)
+        if within:
+            x, y = x[y > x], y[y > x]  # each pair once
+        i, j = left[begin + x], others[y]
         _unite(top, i, j)
-        mine = np.ones(len(i), bool)
-        for t, held in enumerate(places):
+        if len(i) and places is None:
+            places = [_places(tree, rows) for tree in forest]
+        for t, held in enumerate(places or []):
+            mine = np.ones(len(i), bool)
             own, other = held[i], held[j]
             for k in range(own.shape[1]):
                 for m in range(other.shape[1]):
@@ -117,8 +127,9 @@ def _compare(rows: np.ndarray, copies: np.ndarray, places: list[np.ndarray], lea
                     if t == len(places) - 1:
                         shared &= own[:, k] < leaf
                     mine &= ~shared
-        np.add.at(count, i[mine], copies[j[mine]])
-        np.add.at(count, j[mine], copies[i[mine]])
+            i, j = i[mine], j[mine]
+        np.add.at(count, i, copies[j])
+        np.add.at(count, j, copies[i])
     return count, top
 
 
@@ -201,36 +212,71 @@ def _grown(sample: np.ndarray, depth: int, spill: float, least: float, recall: f
     return [Tree(sample, 0, spill, least, seed)]
 
 
-def _linked(same: DataFrame, forest: list[Tree], width: int, least: float) -> DataFrame:
-    """``node, links, top`` for every linked row of every leaf; copies count as links."""
-    spread = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("vec", pa.binary()),
-                        ("tree", pa.int32()), ("leaf", pa.int64())])
+def _leaf_sizes(same: DataFrame, forest: list[Tree], width: int) -> list[np.ndarray]:
+    """Rows of each leaf, by tree; the number of leaves does not grow with the table."""
+    schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int64()), ("held", pa.int64())])
+
+    def count(batches):
+        for batch in batches:
+            unit = _unit(_matrix(batch.column(0), width))
+            for number, tree in enumerate(forest):
+                leaf, held = np.unique(tree.leaves(unit)[1], return_counts=True)
+                yield batch_of(schema, {"tree": np.full(len(leaf), number, np.int32), "leaf": leaf, "held": held})
+
+    counted = same.select("embedding").mapInArrow(count, "tree int, leaf long, held long")
+    counted = counted.groupBy("tree", "leaf").agg(F.sum("held").alias("held")).toArrow()
+    tree, leaf, held = (counted.column(c).to_numpy() for c in ("tree", "leaf", "held"))
+    out = [np.zeros(2**t.depth, np.int64) for t in forest]
+    for t, sizes in enumerate(out):
+        sizes[leaf[tree == t]] = held[tree == t]
+    return out
+
+
+def _linked(same: DataFrame, forest: list[Tree], width: int, least: float, block_rows: int) -> DataFrame:
+    """``node, links, top`` for every linked row of every leaf; copies count as links.
+
+    A leaf is cut into blocks of about ``block_rows`` rows by a hash of the node, and each
+    pair of blocks is compared as a group of its own, so no task holds a larger leaf
+    whole. A row occurs once in each pair, with its links and one partner there; both are
+    brought together afterwards.
+    """
     found = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("top", pa.int64())])
+    blocks = [-(-sizes // block_rows) for sizes in _leaf_sizes(same, forest, width)]
 
     def deal(batches):
         for batch in batches:
             unit = _unit(_matrix(batch.column(2), width))
             vectors = pa.array([u.tobytes() for u in unit], pa.binary())
+            mark = batch.column(3).to_numpy()
             for number, tree in enumerate(forest):
                 who, leaf = tree.leaves(unit)
-                rows = pa.array(who)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), vectors.take(rows),
-                     pa.array(np.full(len(who), number, np.int32)), pa.array(leaf)], schema=spread)
+                parts = blocks[number][leaf]
+                block = mark[who] % parts
+                for other in range(int(parts.max(initial=0))):
+                    there = parts > other
+                    rows, own = pa.array(who[there]), block[there]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(rows), batch.column(1).take(rows), vectors.take(rows),
+                         pa.array(np.full(len(own), number, np.int32)), pa.array(leaf[there]),
+                         pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(own)],
+                        names=["node", "copies", "vec", "tree", "leaf", "i", "j", "block"])
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        nodes = table["node"].to_numpy()
+        number, leaf, first, second = (k.as_py() for k in key)
+        nodes, block = table["node"].to_numpy(), table["block"].to_numpy()
         unit = np.frombuffer(b"".join(table["vec"].to_pylist())).reshape(len(nodes), width)
-        places = [_places(tree, unit) for tree in forest[: key[0].as_py() + 1]]
-        count, top = _compare(unit, table["copies"].to_numpy(), places, key[1].as_py(), least)
+        left = np.flatnonzero(block == first)
+        right = left if first == second else np.flatnonzero(block == second)
+        count, top = _compare(unit, table["copies"].to_numpy(), forest[: number + 1], leaf, least, left, right)
         some = (count > 0) | (top != np.arange(len(top)))
         columns = {"node": nodes[some], "links": count[some], "top": nodes[top[some]]}
         return pa.Table.from_batches([batch_of(found, columns)])
 
-    dealt = same.select("node", "copies", "embedding").mapInArrow(
-        deal, "node long, copies long, vec binary, tree int, leaf long"
+    mark = F.pmod(F.xxhash64("node"), F.lit(1 << 40))
+    dealt = same.select("node", "copies", "embedding", mark.alias("mark")).mapInArrow(
+        deal, "node long, copies long, vec binary, tree int, leaf long, i long, j long, block long"
     )
-    return dealt.groupBy("tree", "leaf").applyInArrow(compare, "node long, links long, top long")
+    return dealt.groupBy("tree", "leaf", "i", "j").applyInArrow(compare, "node long, links long, top long")
 
 
 def similar_vectors(
@@ -241,6 +287,7 @@ def similar_vectors(
     spill: float = 0.02,
     recall: float = 0.995,
     seed: int = 7,
+    block_rows: int = 2048,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vec_id, embedding``.
 
@@ -249,7 +296,7 @@ def similar_vectors(
     through trees of random splits at the medians of a sample of about ``sample_rows``
     rows. Leaves hold about ``leaf_rows`` rows, or a sixteen-fold of the table over the
     sample where that is more (raise ``sample_rows`` with the table), all rows of a leaf
-    are compared, in blocks, and trees are added until ``recall`` of the sample's pairs
+    are compared, in tasks of two blocks of ``block_rows``, and trees are added until ``recall`` of the sample's pairs
     near the threshold meet in a leaf (``_grown``). Counts need no list of
     pairs: a pair is counted in the first leaf it shares, which each row's list of
     leaves tells, and a leaf hands on counts and one link for each linked row.
@@ -277,7 +324,7 @@ def similar_vectors(
         depth = max(0, math.ceil(math.log2(n / leaf_rows)))
         depth = min(depth, max(0, int(math.log2(max(1, len(sample)) / 16))))
         forest = _grown(sample, depth, spill, least, recall, seed)
-        linked = _linked(same, forest, width, least)
+        linked = _linked(same, forest, width, least, block_rows)
     else:
         linked = same.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("top"))
     linked = written(linked, "linked")

@@ -269,6 +269,28 @@ def test_forest_recall_of_concentrated_rows(spark):
     assert sum(r.n_links for r in got.values()) / 2 >= 0.985 * pairs
 
 
+def test_forest_cuts_leaves(spark, monkeypatch):
+    """A leaf with a third of the rows is compared by pairs of blocks, none of them large."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(400)]
+    centre = rng.standard_normal(16)
+    rows += [(1000 + i, (centre + rng.standard_normal(16) * 0.2).tolist()) for i in range(200)]
+    rows += [(2000 + i, rows[-1][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, pairs = brute_links(rows)
+    assert link_rows(forest.similar_vectors(df, block_rows=32)) == sorted(want, key=str) and pairs > 1000
+    got = {r.vec_id: r for r in forest.similar_vectors(df, leaf_rows=64, block_rows=32).collect()}
+    assert all(got[v].n_links <= n for v, n, _ in want)
+    assert sum(r.n_links for r in got.values()) / 2 >= 0.97 * pairs
+    same = spark.createDataFrame([(i, 1, v) for i, v in rows[:600]], "node long, copies long, embedding array<double>")
+    tree = forest.Tree(np.zeros((0, 16)), 0, 0.02, 0.95, 7)
+    compared, real = [], spark.createDataFrame([], "a int").groupBy("a").__class__.applyInArrow
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInArrow", lambda g, f, s: compared.append(g.count()) or real(g, f, s))
+    forest._linked(same, [tree], 16, 0.95, 32).count()
+    sizes = [r["count"] for r in compared[0].collect()]
+    assert len(sizes) == 19 * 20 / 2 and max(sizes) <= 120
+
+
 def test_forest_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     want, _ = brute_links(rows)
