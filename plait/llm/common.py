@@ -47,6 +47,15 @@ def batch_of(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
     )
 
 
+def integers(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors of longs as rows, filled up with zeros."""
+    lists = column.combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy().astype(np.int64))
+    out = np.zeros((len(lengths), width), np.int64)
+    out[np.arange(width)[None, :] < lengths[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of rows of about ``limit`` bytes, one row at least."""
     begin, held = 0, 0

@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
-from .common import batch_of
+from .common import batch_of, integers
 from .forest import usable
 
-# Larger components than this could overflow the sums below.
-WIDE = 1 << 22
+# Sums of products stay below this, or are taken in whole numbers of any size.
+MOST = 1 << 62
 
 
 class Index:
@@ -58,10 +58,15 @@ class Index:
         start, open_dims = int(base[seen].sum()), int(seen.sum())
         slack = int((np.abs(query) * (self.step - 1)).sum())
         turn = np.argsort(-gain, kind="stable")
-        bits = len(query).bit_length()  # the low bits count the dimensions met
+        # The low bits count the dimensions met, where sums leave them free.
+        bits = len(query).bit_length()
+        tops = np.zeros(len(query), np.int64)
+        np.maximum.at(tops, self.dim, gain)
+        packed = int(tops.sum(dtype=object)) + 1 < MOST >> bits
         n = len(self.vectors)
         acc = np.zeros(n, np.int64)
-        given = (gain << bits) + 1
+        met = np.zeros(n, np.int64)
+        given = (gain << bits) + 1 if packed else gain
         sizes = np.cumsum((self.end - self.begin)[turn])
         checks = np.searchsorted(sizes, sizes[-1] * np.arange(4, 16) / 16).tolist()
         at = 0
@@ -69,9 +74,13 @@ class Index:
             for s in turn[at:check].tolist():
                 rows = self.order[self.dim[s], self.begin[s] : self.end[s]]
                 acc[rows] += given[s]
+                if not packed:
+                    met[rows] += 1
             at = max(at, check)
             left = int(gain[turn[at]]) if at < len(turn) else 0
-            sums, met = (acc >> bits) + start, acc & ((1 << bits) - 1)
+            sums = acc + start
+            if packed:
+                sums, met = (acc >> bits) + start, acc & ((1 << bits) - 1)
             upper = sums + (open_dims - met) * left
             may = ~barred
             if may.sum() > k:
@@ -83,17 +92,9 @@ class Index:
         return rows, self.vectors[rows] @ query
 
 
-def _integers(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Vectors of longs as rows, filled up with zeros."""
-    lists = column.combine_chunks()
-    lengths = np.diff(lists.offsets.to_numpy().astype(np.int64))
-    out = np.zeros((len(lengths), width), np.int64)
-    out[np.arange(width)[None, :] < lengths[:, None]] = lists.flatten().to_numpy()
-    return out
-
-
-def _largest(values: np.ndarray) -> int:
-    return max(int(values.max()), -int(values.min()))
+def _largest(values: np.ndarray) -> np.ndarray:
+    """The largest magnitude in each column, as whole numbers of any size."""
+    return np.maximum(values.max(0).astype(object), -values.min(0).astype(object))
 
 
 def top_k(
@@ -107,10 +108,13 @@ def top_k(
     the smaller ``vec_id``. Vectors that are null or hold null or non-finite components
     and rows with a null ``vec_id`` take no part; shorter vectors count as filled up
     with zeros; a repeated row counts as often as it occurs, a repeated query once.
-    Components beyond 2^22 after scaling are scored one by one without an index.
+    Where a block and a query could give products of 2^60 and more in all dimensions
+    together, they are taken in whole numbers of any size without an index; scores end at
+    those of a long.
 
     Rows are dealt at random into blocks, each with its own index, and queries into
-    blocks of theirs. A task holds one block of each; it hands on ``k`` rows a query.
+    blocks of theirs, at least three pairs of blocks a core while blocks hold a thousand
+    rows. A task holds one block of each; it hands on ``k`` rows a query.
     """
     whole = F.transform(
         F.col("embedding").cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale)))
@@ -123,7 +127,9 @@ def top_k(
         F.count("*"), F.max(F.size("v")), F.count_if(F.col("vec_id") % every == 0)
     ).first()
     width = max(1, width or 0)
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-queries // query_rows))
+    query_blocks = max(1, -(-queries // query_rows))
+    wanted = 3 * df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block_rows), min(-(-n // 1024), -(-wanted // query_blocks)))
     found = pa.schema([("query_id", pa.int64()), ("q_no", pa.int64()), ("vec_id", pa.int64()),
                        ("score", pa.int64())])
 
@@ -131,12 +137,16 @@ def top_k(
         out = {f.name: [] for f in found}
         if table.num_rows and asks.num_rows:
             known = table["vec_id"].to_numpy()
-            own = _integers(table["v"], width)
-            index = None if _largest(own) > WIDE else Index(own, levels)
-            queries = zip(asks["vec_id"].to_pylist(), asks["no"].to_pylist(), _integers(asks["v"], width))
+            own = integers(table["v"], width)
+            reach = _largest(own)
+            # The ends of a level lie at most one range beyond the components.
+            index = Index(own, levels) if max(reach) < MOST >> 4 else None
+            queries = zip(asks["vec_id"].to_pylist(), asks["no"].to_pylist(), integers(asks["v"], width))
             for query_id, no, query in queries:
                 barred = known == query_id
-                if index is None or _largest(query) > WIDE:
+                # No bound of a row exceeds the largest product in every dimension.
+                room = 4 * width * max((reach + 1) * np.abs(query.astype(object)))
+                if index is None or room >= MOST:
                     hits = np.flatnonzero(~barred)
                     exact = own[hits].astype(object) @ query.astype(object)
                     scores = np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
@@ -159,6 +169,8 @@ def top_k(
     asked = written(asked.withColumn("no", F.monotonically_increasing_id()), "queries")
     tiles = rows.withColumn("block", dealt(blocks)).withColumn("q", each(query_blocks))
     asked = asked.withColumn("q", dealt(query_blocks)).withColumn("block", each(blocks))
+    parts = blocks * query_blocks
+    tiles, asked = (x.repartition(parts, "block", "q") for x in (tiles, asked))
     best = tiles.groupBy("block", "q").cogroup(asked.groupBy("block", "q")).applyInArrow(
         search, "query_id long, q_no long, vec_id long, score long"
     )

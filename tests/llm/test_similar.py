@@ -173,6 +173,21 @@ def test_top_k_odd_rows(spark):
     assert impact.top_k(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("width, size", [(64, 4096), (512, 4096.0), (1536, 4096.0), (1024, 2e5), (300, 1e12)])
+def test_top_k_of_wide_vectors(spark, width, size):
+    """Vectors whose sums come close to a long's end, and beyond what it holds."""
+    rng = np.random.default_rng(width)
+    rows = [(i, (size * (1 - 1e-3 * rng.random(width))).tolist()) for i in range(120)]
+    rows += [(200 + i, (size * rng.choice([-1.0, 1.0], width)).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top = 2**63 - 1
+    want = brute_top(rows)
+    if size < 1e12:
+        assert top_rows(impact.top_k(df)) == want and max(abs(s) for *_, s in want) < top
+    else:
+        assert all(r.score in (top, -top - 1) for r in impact.top_k(df).collect())
+
+
 def test_top_k_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert top_rows(QUERIES["op6_impact_top_k"](spark, sf)) == brute_top(rows)
