@@ -56,6 +56,11 @@ def integers(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def tile_partitions(tiles: int) -> int:
+    """Partitions for groups of equal work: while they are few, so many that few share one."""
+    return tiles if tiles > 256 else 4 * tiles
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of rows of about ``limit`` bytes, one row at least."""
     begin, held = 0, 0

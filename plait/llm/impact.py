@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
-from .common import batch_of, integers
+from .common import batch_of, integers, tile_partitions
 from .forest import usable
 
 # Sums of products stay below this, or are taken in whole numbers of any size.
@@ -99,7 +99,7 @@ def _largest(values: np.ndarray) -> np.ndarray:
 
 def top_k(
     df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, block_rows: int = 16_384,
-    query_rows: int = 4096, levels: int = 64,
+    query_rows: int = 4096, levels: int = 32,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest integer inner products.
 
@@ -113,8 +113,8 @@ def top_k(
     those of a long.
 
     Rows are dealt at random into blocks, each with its own index, and queries into
-    blocks of theirs, at least three pairs of blocks a core while blocks hold a thousand
-    rows. A task holds one block of each; it hands on ``k`` rows a query.
+    blocks of theirs, so many that there are three pairs of blocks a core while blocks
+    hold 64 queries. A task holds one block of each; it hands on ``k`` rows a query.
     """
     whole = F.transform(
         F.col("embedding").cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale)))
@@ -127,9 +127,9 @@ def top_k(
         F.count("*"), F.max(F.size("v")), F.count_if(F.col("vec_id") % every == 0)
     ).first()
     width = max(1, width or 0)
-    query_blocks = max(1, -(-queries // query_rows))
+    blocks = max(1, -(-n // block_rows))
     wanted = 3 * df.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // block_rows), min(-(-n // 1024), -(-wanted // query_blocks)))
+    query_blocks = max(1, -(-queries // query_rows), min(-(-queries // 64), -(-wanted // blocks)))
     found = pa.schema([("query_id", pa.int64()), ("q_no", pa.int64()), ("vec_id", pa.int64()),
                        ("score", pa.int64())])
 
@@ -169,7 +169,7 @@ def top_k(
     asked = written(asked.withColumn("no", F.monotonically_increasing_id()), "queries")
     tiles = rows.withColumn("block", dealt(blocks)).withColumn("q", each(query_blocks))
     asked = asked.withColumn("q", dealt(query_blocks)).withColumn("block", each(blocks))
-    parts = blocks * query_blocks
+    parts = tile_partitions(blocks * query_blocks)
     tiles, asked = (x.repartition(parts, "block", "q") for x in (tiles, asked))
     best = tiles.groupBy("block", "q").cogroup(asked.groupBy("block", "q")).applyInArrow(
         search, "query_id long, q_no long, vec_id long, score long"

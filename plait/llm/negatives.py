@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
-from .common import batch_of, integers
+from .common import batch_of, integers, tile_partitions
 from .forest import usable
 
 # Scores end at those of a long.
@@ -124,7 +124,7 @@ def mine(
     def each(number: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long")))
 
-    parts = blocks * anchor_blocks
+    parts = tile_partitions(blocks * anchor_blocks)
     tiles = rows.withColumn("block", dealt(blocks)).withColumn("a", each(anchor_blocks))
     tiles = tiles.repartition(parts, "block", "a").groupBy("block", "a")
     anchors = rows.where(F.col("vec_id") % every == 0).distinct()
