@@ -171,7 +171,11 @@ def write(
             yield batch_of(schema, {"shard": [blob]})
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id are ordered by their texts' hash, and equal rows, of which any order
+    # gives the same files, by place: no id has to go to one task.
+    order = ["doc_id", "_hash", "_place"]
+    ordered = ordered.withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order).drop("_hash", "_place")
     # Spark has no writer of raw bytes, but its text writer passes a string's bytes on
     # unchanged and adds a line end, which the reader never looks at.
     (

@@ -151,6 +151,10 @@ class Models:
         return np.add.reduceat(costs, starts, axis=0, dtype=np.int64), ends - starts
 
 
+# Characters of a text that are drawn together.
+PIECE = 16_384
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
@@ -159,23 +163,29 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, bytes_per_language: int = 3_000_000) -> Models | None:
     """Models of the languages named by ``lang`` in the rows that are not held out.
 
-    Of each language a sample of texts of about ``bytes_per_language`` bytes is drawn by
-    a hash of the text; it bounds the counts, which are the only thing the driver sees.
-    Texts without ASCII or other letters and rows without a language teach nothing;
-    None if no row does.
+    Of each language a sample of about ``bytes_per_language`` bytes is drawn by a hash of
+    whole texts or, of longer ones, of pieces of 16,384 characters, one piece at least;
+    it bounds the counts, which are the only thing the driver sees. Texts without ASCII
+    or other letters and rows without a language teach nothing; None if no row does.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
-    rows = rows.select("text", "lang")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    sizes = {r.lang: r.bytes for r in sizes.collect()}
+    long = F.octet_length("text") > PIECE
+    pieces = F.when(long, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array("text"))
+    rows = rows.select("lang", "doc_id", F.posexplode(pieces).alias("part", "text"))
+    # Copies of a text under other ids, and equal pieces of one text, are drawn apart.
+    lot = F.pmod(F.xxhash64("text", "doc_id", "part"), F.lit(1 << 20))
+    rows = rows.select("text", "lang", lot.alias("lot"))
+    sums = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("lot").alias("least"))
+    sums = sums.collect()
+    sizes = {r.lang: r.bytes for r in sums}
     if not sizes:
         return None
     languages = sorted(sizes)
-    shares = F.create_map(*[x for l in languages for x in (F.lit(l), F.lit(min(1.0, bytes_per_language / sizes[l])))])
+    lots = {r.lang: max(r.least + 1, int(min(1.0, bytes_per_language / r.bytes) * (1 << 20))) for r in sums}
+    limit = F.create_map(*[x for l in languages for x in (F.lit(l), F.lit(lots[l]))])
     number = F.create_map(*[x for i, l in enumerate(languages) for x in (F.lit(l), F.lit(i))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20)
-    sample = rows.where(drawn).select(number[F.col("lang")].alias("language"), "text")
+    sample = rows.where(F.col("lot") < limit[F.col("lang")]).select(number[F.col("lang")].alias("language"), "text")
     schema = pa.schema([("n", pa.int32()), ("language", pa.int32()), ("gram", pa.int64()), ("count", pa.int64())])
 
     def count(batches):

@@ -113,6 +113,23 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     return used.select("slot", "source_no", "block", "epoch", F.least(inside, left).cast("long").alias("words"))
 
 
+# Copies of one row that a task deals out at a time.
+COPIES = 4096
+
+
+def _dealt(counted: DataFrame) -> DataFrame:
+    """Each row as often as ``_copies`` says, ``mixed`` being a hash of its own."""
+    batch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / COPIES)))
+    # Only batches of copies are moved; a row without copies stays where it is.
+    many = counted.where(F.col("_copies") > COPIES).withColumn("_batch", batch).repartition("_own", "_batch")
+    few = counted.where(F.col("_copies") <= COPIES).withColumn("_batch", F.lit(0).cast("long"))
+    first = F.col("_batch") * COPIES
+    last = F.least(first + COPIES, F.col("_copies")) - 1
+    rows = few.unionByName(many).withColumn("_copy", F.explode(F.sequence(first, last)))
+    mixed = F.when(F.col("_copy") == 0, F.col("_own")).otherwise(F.xxhash64("_own", "_copy"))
+    return rows.withColumn("mixed", mixed).drop("_own", "_copies", "_batch", "_copy")
+
+
 def mix(docs: DataFrame, keep: list[str] = ["doc_id"], block: int = 1024, seed: int = 17) -> DataFrame:  # noqa: B006
     """The long columns ``keep``, ``size, source_size, target, taken`` for every row.
 
@@ -123,11 +140,13 @@ def mix(docs: DataFrame, keep: list[str] = ["doc_id"], block: int = 1024, seed:
     source; repeated rows are documents of their own; equal input gives equal output.
     """
     chosen = [F.col(c).cast("long").alias(c) for c in keep]
-    # The order hangs on what a document is, not on where its row happens to stand.
-    own = F.xxhash64(F.lit(seed), F.xxhash64("text"), *([F.col("doc_id")] if "doc_id" in docs.columns else keep))
+    # The order hangs on what a document is, not on where its row happens to stand: equal
+    # rows are counted and then dealt out by number, so that they spread like any others.
+    ident = [F.col("doc_id")] if "doc_id" in docs.columns else [F.col(c) for c in keep]
     rows = docs.select(*chosen, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-                       own.alias("mixed"))
-    rows = written(rows, "sizes")
+                       F.xxhash64(F.lit(seed), F.xxhash64("text"), *ident).alias("_own"))
+    counted = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies")), "sizes")
+    rows = _dealt(counted)
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = targets(sums.select("source", "source_size"))
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
@@ -180,12 +199,12 @@ def mixed_documents(docs: DataFrame, block: int = 1024) -> DataFrame:
     source at which its words run out is given up to the last word read, with ``n_chars``
     to match, if there is such a column.
     """
-    row, taken, size, part = (unused(docs, n) for n in ("_row", "_taken", "_size", "_part"))
+    row, taken, size, part, of = (unused(docs, n) for n in ("_row", "_taken", "_size", "_part", "_of"))
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     counts = mix(placed, [row], block).where("taken > 0").select(
-        F.col(row).alias("_of"), F.col("taken").alias(taken), F.col("size").alias(size)
+        F.col(row).alias(of), F.col("taken").alias(taken), F.col("size").alias(size)
     )
-    joined = placed.join(counts, F.col(row) == F.col("_of"))
+    joined = placed.join(counts, F.col(row) == F.col(of))
     last = F.col(taken) % F.col(size)
     times = F.array_repeat(F.col(size), F.floor(F.col(taken) / F.col(size)).cast("int"))
     parts = F.when(last > 0, F.array_append(times, last)).otherwise(times)

@@ -279,29 +279,54 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
+# Code points in a piece of a text that is cut at many places.
+PIECE = 4096
+
+
+def _cut(pieces: Column, begin: Column, end: Column) -> Column:
+    """The code points from ``begin`` to before ``end`` of a text given in pieces."""
+    size = F.lit(PIECE)
+    i, j = F.floor(begin / size).cast("int"), F.floor((end - 1) / size).cast("int")
+    front, back = begin % size, (end - 1) % size + 1
+    within = F.substring(F.get(pieces, i), front + 1, end - begin)
+    whole = F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    across = F.concat(F.substring(F.get(pieces, i), front + 1, size), whole, F.substring(F.get(pieces, j), F.lit(1), back))
+    return F.when(end <= begin, "").when(i == j, within).otherwise(across)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, all rows and columns.
 
     ``n_chars``, if there is such a column, follows the text. Texts without spans,
-    empty and null texts stay as they are.
+    empty and null texts stay as they are. Of spans that overlap, the first is replaced
+    and what the later ones go beyond it is dropped.
+
+    A text with spans is split once into pieces, and what stands between the spans is
+    taken from these, so the work grows with the text and its spans, not their product.
     """
-    row, text, list_ = (unused(docs, n) for n in ("_row", "_new_text", "_spans"))
+    row, text, list_, of = (unused(docs, n) for n in ("_row", "_new_text", "_spans", "_of"))
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     found = spans_of(placed.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")))
-    one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
-    own = found.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias(list_)).withColumnRenamed("row", "_of")
+    found = found.select("row", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
+    earlier = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("at", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    one = F.struct("start", "end", "kind", "at")
+    own = found.groupBy(F.col("row").alias(of)).agg(F.array_sort(F.collect_list(one)).alias(list_))
     source = F.col("text").cast("string")
 
-    def step(done: Column, s: Column) -> Column:
-        kept = F.substring(source, done["at"] + 1, F.greatest(F.lit(0), s["start"] - done["at"]))
-        sign = F.when(s["end"] > done["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], kept, sign).alias("out"))
+    def build(pieces: Column) -> Column:
+        def part(s: Column) -> Column:
+            sign = F.when(s["end"] > s["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+            return F.concat(_cut(pieces, s["at"], s["start"]), sign)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    built = F.aggregate(
-        F.col(list_), begin, step, lambda d: F.concat(d["out"], F.substring(source, d["at"] + 1, F.length(source)))
-    )
-    out = placed.join(own, F.col(row) == F.col("_of"), "left")
+        done = F.greatest(F.element_at(F.col(list_), -1)["at"], F.element_at(F.col(list_), -1)["end"])
+        rest = _cut(pieces, done, F.length(source))
+        return F.concat(F.array_join(F.transform(F.col(list_), part), ""), rest)
+
+    # As a lambda's argument the pieces are made once for all spans of a text.
+    pieces = F.regexp_extract_all(source, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    built = F.get(F.transform(F.array(pieces), build), F.lit(0))
+    out = placed.join(own, F.col(row) == F.col(of), "left")
     out = out.withColumn(text, F.when(F.col(list_).isNotNull(), built).otherwise(F.col("text")))
     changed = {"text": F.col(text).alias("text")}
     if "n_chars" in docs.columns:

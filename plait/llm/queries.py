@@ -51,7 +51,11 @@ def op6_impact_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents stand in the directories source/language."""
+    """Documents have no paths: they are put into directories by source and language.
+
+    What a document inherits follows from these made-up directories only; ``own`` licences
+    do not.
+    """
     path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"),
                     F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return licenses.scan(_table(spark, sf, "documents"), path)

@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
-from . import minhash
 from .common import batch_of, raw_bytes, shingle_hashes, slices, unused
 from .components import components
 
@@ -116,13 +115,18 @@ def links(fps: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """The distinct fingerprints of ``prints`` with the ``component`` each belongs to."""
+    tied = components(links(prints))
+    return prints.join(tied, prints["fp"] == tied["node"], "left").drop("node").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+
+
 def classes(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``fp, component_id``: the smallest id among all fingerprints reachable by links."""
     own = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    tied = components(links(own))
-    named = own.join(tied, own["fp"] == tied["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    named = _components(own)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return named.join(ids, "component").select("fp", "component_id")
 
@@ -141,18 +145,23 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """One document of each class: the one with the smallest id, whole, all columns.
 
-    Classes are those of ``minhash.classes``: links are exact similarities of ``least`` or
-    more over ``width`` words, which no radius of fingerprints finds at a bounded cost.
-    Rows are told apart by their place in ``docs``, so of repeated rows one stays too.
-    ``docs`` has to be read the same way twice, as files are.
+    Classes are those of :func:`near_duplicates`: fingerprints over ``width`` words linked
+    at two differing bits or fewer. Rows are told apart by their place in ``docs``, so of
+    repeated rows one stays too; a null id comes last; all texts without words are one
+    class. ``docs`` has to be read the same way twice, as files are.
+
+    A class is reduced to its first document per fingerprint before anything is joined, so
+    a group of copies may hold any share of the rows.
     """
-    row = unused(docs, "_row")
+    row, kept = unused(docs, "_row"), unused(docs, "_kept")
     placed = docs.withColumn(row, F.monotonically_increasing_id())
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    stays = minhash.classes(placed, row, width, least).groupBy("component").agg(first)
-    kept = written(stays.select(F.col("first.row").alias("_kept")), "kept")
+    fps = fingerprints(placed, width, ["doc_id", row])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))
+    own = written(fps.groupBy("fp").agg(first.alias("first")), "distinct")
+    stays = _components(own).groupBy("component").agg(F.min("first").alias("first"))
+    stays = written(stays.select(F.col("first.row").alias(kept)), "kept")
     # The same plan at every size: what stays is most of the table, never a small side.
-    return placed.join(kept.hint("merge"), F.col(row) == F.col("_kept"), "left_semi").drop(row)
+    return placed.join(stays.hint("merge"), F.col(row) == F.col(kept), "left_semi").drop(row)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -358,14 +359,46 @@ def plain_license(text, least=0.7):
         norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
         return round(sum(x * b.get(w, 0) for w, x in a.items()) / norm, 6) if norm else 0.0
 
-    best = (None, None)
-    for unit in [*(text or "").split("\n"), *re.split(r"\n[\x20\t\r]*\n", text or "")]:
+    best = (None, -1, -1)
+    plain = re.sub(licenses.COMMENT, "", text or "")
+    blocks = re.split(r"\n[\x20\t\r]*\n", plain)
+    sentences = [s for b in blocks for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", b)]
+    for unit in [*plain.split("\n"), *blocks, *sentences, plain]:
         if re.search(licenses.CUE, unit):
+            terms = len(licenses.terms_of(unit))
             for name, template in licenses.TEMPLATES:
                 s = cosine(vector(unit), vector(template))
-                if s >= least and (best[1] is None or s > best[1]):
-                    best = (name, s)
-    return best
+                if s >= least and (s, terms) > best[1:]:
+                    best = (name, s, terms)
+    return best[:2] if best[0] else (None, None)
+
+
+@pytest.mark.parametrize("style", [" * {}", "// {}", "# {}", "{}"])
+def test_every_notice_is_found_as_itself(spark, tmp_path, style):
+    """Each template as a comment of 60 letters a line under a copyright line, with code below."""
+    assert all(re.search(licenses.CUE, t) for _, t in licenses.TEMPLATES)
+    rows = []
+    for i, (name, text) in enumerate(licenses.TEMPLATES):
+        lines = ["Copyright (C) 2021 Some Author", "", *textwrap.wrap(text, 60), ""]
+        marked = [style.format(x).rstrip() for x in lines]
+        if "*" in style:
+            marked = ["/*", *marked, " */"]
+        rows.append((i, f"src/{i}.c", "\n".join([*marked, "", "int main(void) { return 0; }"])))
+    spark.createDataFrame(rows, "doc_id long, path string, text string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, df["path"]).collect()}
+    assert [got[i] for i in range(len(rows))] == [(name, "own") for name, _ in licenses.TEMPLATES]
+
+
+def test_license_ties_and_long_texts(spark, tmp_path):
+    mit = licenses.NOTICES[3][1]
+    rows = [(1, "a/x", "word " * 200_000 + "\n" + mit), (2, "a/y", mit + "\n" + licenses.NOTICES[0][1]),
+            (3, "b/x", "SPDX-License-Identifier: Other-1.0"), (4, "b/y", "no license here at all, only words about licensing")]
+    spark.createDataFrame(rows, "doc_id long, path string, text string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, df["path"]).collect()}
+    # Both notices score 1: the longer one counts.
+    assert got == {1: ("MIT", "own"), 2: ("Apache-2.0", "own"), 3: (None, None), 4: (None, None)}
 
 
 def test_license_query(spark, sf):
@@ -384,7 +417,7 @@ def test_license_query(spark, sf):
 
 
 def test_license_files(spark, tmp_path):
-    mit, gpl = licenses.TEMPLATES[2][1], licenses.TEMPLATES[6][1]
+    mit, gpl = licenses.NOTICES[3][1], licenses.NOTICES[17][1]
     rows = [(1, "a/b/main.c", "code only"), (2, "a/LICENSE", "Some words before.\n\n" + mit), (3, "a/b/c/x.c", "# " + gpl + "\nint x;"),
             (4, "a/b/c/d/y.c", None), (5, "z/y.c", ""), (6, None, "none"), (None, "a/q", "text"), (7, "top.c", "x"), (8, "a/b/COPYING", gpl),
             (9, "n/notes.txt", "words " * 60 + "\n" + mit), (10, "n/o.txt", "nothing"), (1, "a/b/main.c", "code only")]
@@ -398,6 +431,51 @@ def test_license_files(spark, tmp_path):
     assert licenses.scan(df.where("false"), df["path"]).collect() == []
 
 
+def test_redaction_cuts_at_code_points(spark, tmp_path):
+    """Many spans, letters beyond the basic plane, overlapping kinds and pieces' edges."""
+    rng = random.Random(8)
+    parts = ["é😀x", "a.b@c.de", " ", "+49 151 2345678", "10.20.30.40", "4111 1111 1111 1111", "word " * 50, "\n\n", "ß" * 4093]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 400))) for _ in range(20)] + ["a@b.cd", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    spans = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        out, at = [], 0
+        found = [s.split(":") for s in spans[i].split(",") if s]
+        for kind, start, end in sorted(((k, int(a), int(b)) for k, a, b in found), key=lambda s: (s[1], s[2], s[0])):
+            out.append(text[at:start] if start > at else "")
+            out.append(f"[{kind.upper()}]" if end > at else "")
+            at = max(at, end)
+        assert got[i] == "".join(out) + text[at:]
+
+
+def test_long_texts_teach_their_language(spark):
+    """A language of one long text, one of many copies of a long text, and one of short texts."""
+    teach = lambda n: not zlib.crc32(str(n).encode()) % 3 == 1
+    ids = [i for i in range(400) if teach(i)]
+    english, french, german = "the cat sat on the mat and ", "le chat est assis sur le tapis et ", "die katze sitzt auf der matte und "
+    rows = [(ids[0], french * 60_000, "fr")] + [(ids[0], german * 20_000, "de")] * 6 + [(i, english * 3, "en") for i in ids[1:200]]
+    rows += [(1000 + i, t, None) for i, t in enumerate([french * 3, german * 3, english * 3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.train(df, bytes_per_language=50_000)
+    assert models.languages == ["de", "en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).where("doc_id >= 1000").collect()}
+    assert [got[1000 + i] for i in range(3)] == ["fr", "de", "en"]
+
+
+def test_equal_rows_spread(spark):
+    """Copies of one row are dealt to many places of their source and taken like others."""
+    rows = [(1, "same words here", "a")] * 20_000 + [(i, "other words now", "b") for i in range(2, 500)] + [(None, "no id", None)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df)
+    assert got.count() == len(rows)
+    again = sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    assert sorted(map(str, got.collect())) == again
+    dealt = mixing._dealt(spark.createDataFrame([(5, 9000)], "_own long, _copies long")).collect()
+    assert len({r.mixed for r in dealt}) == 9000
+
+
 # --- pipeline
 
 
@@ -430,11 +508,30 @@ def test_unlabelled_texts_stay(spark, tmp_path):
         assert made.count() >= 20
 
 
-@pytest.mark.parametrize("stage", range(4))
+# Names that the stages' own columns might have.
+CLASHES = ["_of", "_kept", "_row", "_taken", "_size", "_part", "_spans", "_new_text", "_lettered", "row", "start", "piece", "mixed"]
+
+
+@pytest.mark.parametrize("stage", range(5))
 def test_stages_take_odd_tables(spark, tmp_path, stage):
-    rows = [(1, None, None, None, None), (None, "", None, None, 0), (2, "one two", "en", "s", 7), (2, "one two", "en", "s", 7)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    """Nulls, empty and very long texts, repeated rows and clashing names."""
+    long = "many words and mail@example.org here " * 30_000
+    rows = [(1, None, None, None, None), (None, "", None, None, 0), (2, "one two", "en", "s", 7), (2, "one two", "en", "s", 7),
+            (3, long, "en", "s", len(long))]
+    extra = ", ".join(f"`{c}` string" for c in CLASHES)
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    spark.createDataFrame([(*r, *CLASHES) for r in rows], schema).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    made = corpus_pipeline.STAGES[stage][1](spark, docs, "")
-    assert made.columns == docs.columns and made.count() <= 4
-    assert corpus_pipeline.STAGES[stage][1](spark, docs.where("false"), "").count() == 0
+    name, run = corpus_pipeline.STAGES[stage]
+    made = run(spark, docs, "").collect()
+    if name == "best-fit packing":
+        # 180,000 words and more: cut into many pieces, the last of them short.
+        assert len([r for r in made if r.doc_id == 3]) > 60 and max(r.length for r in made) == 2048
+        assert sorted(r.length for r in made if r.doc_id != 3) == [1, 1, 3, 3]
+    else:
+        assert run(spark, docs, "").columns == docs.columns and 1 <= len(made) <= 5
+        assert all(r["_of"] == "_of" and r["piece"] == "piece" for r in made)
+        (kept,) = [r for r in made if r.doc_id == 3]
+        assert kept.text == (long.replace("mail@example.org", "[EMAIL]") if name == "PII" else long)
+        assert kept.n_chars == len(kept.text)
+    assert run(spark, docs.where("false"), "").count() == 0
