@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +103,8 @@ def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[i
     The least filled bin gives. Each step makes another bin fuller at its cost and
     raises the sum of squared fills, until the giver is empty or no step is left; then
     the next bin gives. Rounds follow until one brings no step (the sum can't rise for
-    ever), or no packing can have fewer bins.
+    ever), or no packing can have fewer bins. Where steps of neighbouring lengths are used
+    up, a round looks at all pairs of a bin's pieces.
     """
     least = fewest(np.asarray(lengths), size)
     fill = [sum(lengths[i] for i in b) for b in bins]
@@ -117,23 +119,37 @@ def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[i
         return [b for b in bins if b]
     item, length, owner = np.array(item), np.array(length), np.array(owner)
     fills = np.array(fill)
-    moved = True
-    while moved and live > least:
+    whole = False
+    while live > least:
         moved = False
         for giver in sorted(set(owner.tolist()), key=lambda b: fills[b]):
             if live <= least or fills[giver] == size:
                 break
-            while fills[giver] and _step(giver, item, length, owner, fills, size):
+            while fills[giver] and _step(giver, item, length, owner, fills, size, whole):
                 moved = True
             live -= not fills[giver]
+        if not moved and whole:
+            break
+        whole = not moved
     done: list[list[int]] = [b if fill[n] == size else [] for n, b in enumerate(bins)]
     for i, b in zip(item.tolist(), owner.tolist()):
         done[b].append(i)
     return [b for b in done if b]
 
 
-def _step(giver, item, length, owner, fills, size) -> bool:
-    """Make the best step for this giver; False if none raises the squared fills."""
+def _pairs(length: np.ndarray, members: np.ndarray) -> list[tuple]:
+    """One pair of the given pieces for each sum of lengths."""
+    a, b = np.triu_indices(len(members), 1)
+    _, first = np.unique(length[members[a]] + length[members[b]], return_index=True)
+    return list(zip(members[a[first]], members[b[first]]))
+
+
+def _step(giver, item, length, owner, fills, size, whole=False) -> bool:
+    """Make the best step for this giver; False if none raises the squared fills.
+
+    Of pairs of a bin's pieces, those of neighbouring lengths are tried or, if ``whole``,
+    one for each sum that any two of them have.
+    """
     space = size - fills
     mine = np.flatnonzero(owner == giver)
     mine = mine[np.argsort(-length[mine], kind="stable")]
@@ -153,7 +169,7 @@ def _step(giver, item, length, owner, fills, size) -> bool:
             return True
     room = space[owner]
     free = (owner != giver) & (room > 0) & (fills[owner] > 0)
-    pairs = [(x, y) for n, x in enumerate(mine[:-1]) for y in mine[n + 1 : n + 4]]
+    pairs = _pairs(length, mine) if whole else [(x, y) for n, x in enumerate(mine[:-1]) for y in mine[n + 1 : n + 4]]
     for given in [(x,) for x in mine] + pairs:  # one or two of the giver's for one
         weight = int(length[list(given)].sum())
         gain = weight - length
@@ -166,10 +182,15 @@ def _step(giver, item, length, owner, fills, size) -> bool:
             fills[giver] -= won
             fills[to] += won
             return True
-    order = np.lexsort((length, owner))  # one of the giver's for two neighbours of a bin
-    a, b = order[:-1], order[1:]
-    same = (owner[a] == owner[b]) & free[a]
-    a, b = a[same], b[same]
+    # One of the giver's for two of a bin's.
+    if whole:
+        both = [p for to in open_bins.tolist() for p in _pairs(length, np.flatnonzero(owner == to))]
+        a, b = np.array(both, np.int64).reshape(-1, 2).T
+    else:
+        order = np.lexsort((length, owner))
+        a, b = order[:-1], order[1:]
+        same = (owner[a] == owner[b]) & free[a]
+        a, b = a[same], b[same]
     for x in mine if len(a) else []:
         gain = length[x] - length[a] - length[b]
         good = (gain > 0) & (gain <= room[a]) & (fills[owner[a]] + gain > own)
@@ -190,28 +211,45 @@ def pack(
     """The pieces of ``docs`` with ``sequence_id`` and ``offset``, gapless from 0.
 
     Pieces are dealt at random into groups of about ``group_pieces``, each of which is
-    packed on its own; a group leaves about one bin open, so the loss against one
-    packing of everything is a small part of a group. Only lengths and numbers of
-    pieces are moved. An empty table gives no rows; see ``pieces`` for nulls.
+    packed on its own. A group leaves a few bins open; their pieces are dealt into new,
+    fewer groups and packed again, until one group holds all that is open. Only lengths
+    and numbers of pieces are moved. An empty table gives no rows; see ``pieces`` for
+    nulls.
     """
     cut = written(pieces(docs, tokenizer, size, end_id), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
 
     def place(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.select(named)
         lengths = table["length"].to_pylist()
         bins = improve(best_fit(lengths, size), lengths, size)
         sequence = np.empty(len(lengths), np.int64)
-        offset = np.empty(len(lengths), np.int64)
+        offset, fill = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
         for b, members in enumerate(bins):
             at = 0
             for i in members:
                 sequence[i], offset[i] = b, at
                 at += lengths[i]
-        table = table.drop_columns(["grp"])
+            fill[members] = at
         table = table.append_column("sequence_id", pa.array((key[0].as_py() << 32) + sequence))
-        return table.append_column("offset", pa.array(offset))
-
-    dealt = cut.withColumn(
-        "grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
-    )
-    return dealt.groupBy("grp").applyInArrow(place, PIECE + ", sequence_id long, offset long")
+        return table.append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
+
+    named = cut.columns
+
+    def packed(rows: DataFrame, first: int, count: int) -> DataFrame:
+        lot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("long") + first
+        dealt = rows.select(*named, lot.alias("grp"))
+        made = dealt.groupBy("grp").applyInArrow(place, PIECE + ", sequence_id long, offset long, fill long")
+        return written(made, "packed")
+
+    done, first = [], 0
+    while True:
+        placed = packed(cut, first, groups)
+        open_ = placed.where(F.col("fill") < size)
+        fewer = max(1, -(-open_.count() // group_pieces))
+        if groups == 1 or fewer >= groups:
+            done.append(placed)
+            break
+        done.append(placed.where(F.col("fill") == size))
+        cut, first, groups = open_, first + groups, fewer
+    return reduce(DataFrame.union, done).drop("fill")
