@@ -21,8 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies.
 
-    By MinHash with exact similarity (0.8 over five words) instead of SimHash, whose radius
-    of two bits misses most near copies.
+    Fingerprints over three words, linked at two differing bits or fewer.
     """
     return simhash.keep_one(docs)
 
@@ -44,7 +43,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language ID", identify_language),
-    ("MinHash near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("PII", redact_personal_data),
     ("mixing sources", mix_sources),
     ("best-fit packing", pack_sequences),
