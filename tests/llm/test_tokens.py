@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from plait.llm import idfiles, packing
+from plait.llm import idfiles, packing, tokens
 from plait.llm.queries import QUERIES, public_tokenizer
 from plait.llm.tokens import Encoder
 from plait.session import fresh_path
@@ -157,3 +157,24 @@ def test_search_finds_the_exchange():
     lengths = [6, 5, 5, 4, 4, 3, 3]
     bins = [[0, 3], [1, 4], [2, 5], [6]]
     assert len(packing.improve(bins, lengths, 10)) == 3
+
+
+@pytest.mark.parametrize("base, piece, held", [(tokens.BASE, 1 << 20, 2_000_000), (1, 1 << 20, 2_000_000), (tokens.BASE, 64, 50)])
+def test_looked_up_words_equal_the_library(monkeypatch, base, piece, held):
+    """Also where sums of different words are equal, stretches are short and caches small."""
+    monkeypatch.setattr(tokens, "BASE", base)
+    monkeypatch.setattr(tokens, "SLICE", piece)
+    monkeypatch.setattr(tokens, "CACHED_WORDS", held)
+    monkeypatch.setattr(tokens, "CACHED_UNITS", held)
+    monkeypatch.setattr(tokens.Words, "powers", np.ones(1, np.uint64))
+    monkeypatch.setattr(tokens.Words, "undone", np.ones(1, np.uint64))
+    rng = random.Random(3)
+    parts = ["listen", "silent", "Enlist", "tinsel", "ab", "ba", "élan", "don't", "x.y", "%%%", "café***", "9a", "a9", "<|x|>", "日本", "İ", "Ǆ", "\x00", "​"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n", "\t ", "\x0b", " "]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += ["", None, " ", "w" * 5000, "listen silent " * 2000, "\n\n", "end "]
+
+    enc = tokens.Encoder(PATH)
+    library = Tokenizer.from_file(PATH)
+    for _ in range(2):
+        got = enc.packed([None if t is None else t.encode() for t in texts])
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
