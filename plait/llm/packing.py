@@ -211,9 +211,9 @@ def pack(
     """The pieces of ``docs`` with ``sequence_id`` and ``offset``, gapless from 0.
 
     Pieces are dealt at random into groups of about ``group_pieces``, each of which is
-    packed on its own. A group leaves a few bins open; their pieces are dealt into new,
-    fewer groups and packed again, until one group holds all that is open. Only lengths
-    and numbers of pieces are moved. An empty table gives no rows; see ``pieces`` for
+    packed on its own. A group leaves a few bins wide open (less than nine tenths full);
+    their pieces are dealt into new, fewer groups and packed again, until one group holds
+    all of these. Only lengths and numbers of pieces are moved. An empty table gives no rows; see ``pieces`` for
     nulls.
     """
     cut = written(pieces(docs, tokenizer, size, end_id), "pieces")
@@ -245,11 +245,11 @@ def pack(
     done, first = [], 0
     while True:
         placed = packed(cut, first, groups)
-        open_ = placed.where(F.col("fill") < size)
+        open_ = placed.where(F.col("fill") * 10 < size * 9)
         fewer = max(1, -(-open_.count() // group_pieces))
         if groups == 1 or fewer >= groups:
             done.append(placed)
             break
-        done.append(placed.where(F.col("fill") == size))
+        done.append(placed.where(F.col("fill") * 10 >= size * 9))
         cut, first, groups = open_, first + groups, fewer
     return reduce(DataFrame.union, done).drop("fill")
