@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _JSON = {"ignoreNullFields": "false"}
@@ -80,29 +82,41 @@ def _lane(digest: Column, number: int) -> Column:
     return F.conv(F.substring(digest, 1 + 15 * number, 15), 16, 10).cast("decimal(38,0)")
 
 
+def lane_sums(digest: Column, weight: Column | int = 1) -> list[Column]:
+    """Sums of a row digest's four lanes, ``s0`` to ``s3``, each row times ``weight``."""
+    return [
+        F.coalesce(F.sum(_lane(digest, i) * weight), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}")
+        for i in range(4)
+    ]
+
+
+def digest_sums(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row ``row_count, s0, s1, s2, s3``: what a digest is made of, and can be added up."""
+    hashed = df.select(row_hash(df, columns).alias("h"))
+    return hashed.agg(F.count("*").alias("row_count"), *lane_sums(F.col("h")))
+
+
+def as_checksum(sums: DataFrame) -> DataFrame:
+    """``row_count, checksum`` of sums; 16 hex characters."""
+    text = F.concat_ws(":", "row_count", *[F.col(f"s{i}").cast("string") for i in range(4)])
+    return sums.select("row_count", F.substring(F.sha2(text, 256), 1, 16).alias("checksum"))
+
+
+def checksum_of(row_count: int, lanes: list[int]) -> str:
+    """:func:`as_checksum` of numbers the driver holds."""
+    text = ":".join(map(str, [row_count, *lanes]))
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
 def table_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row ``(row_count, checksum)`` that ignores row order and partitioning.
 
     Row hashes are summed in four independent lanes, so every task reduces its
     rows to one partial sum and nothing is sorted or gathered. Equal tables give
-    equal digests; the checksum is 16 hex characters.
+    equal digests. Being sums, they follow a change without a second look at the
+    table: old row hashes are taken away and new ones added.
     """
-    hashed = df.select(row_hash(df, columns).alias("h"))
-    lanes = [F.coalesce(F.sum(_lane(F.col("h"), i)), F.lit(0)).alias(f"s{i}") for i in range(4)]
-    return (
-        hashed.agg(F.count("*").alias("row_count"), *lanes)
-        .select(
-            "row_count",
-            F.substring(
-                F.sha2(
-                    F.concat_ws(":", "row_count", *[F.col(f"s{i}").cast("string") for i in range(4)]),
-                    256,
-                ),
-                1,
-                16,
-            ).alias("checksum"),
-        )
-    )
+    return as_checksum(digest_sums(df, columns))
 
 
 def content_hash(**parts: Column) -> Column:

@@ -6,6 +6,7 @@ A diff shuffles each side once on the key. ``source`` is the changed side and
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -266,18 +267,47 @@ def diff_log(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     return net.withColumn("change", change).where("change IS NOT NULL")
 
 
+def schema_paths(dtype: T.DataType, path: str = "") -> dict[str, str]:
+    """Type by path through structs (``a.b``), arrays (``a[]``) and maps (``a{key}``, ``a{value}``)."""
+    if isinstance(dtype, T.StructType):
+        out = {path: "struct"} if path else {}
+        for f in dtype.fields:
+            out |= schema_paths(f.dataType, f"{path}.{f.name}" if path else f.name)
+        return out
+    if isinstance(dtype, T.ArrayType):
+        return {path: "array"} | schema_paths(dtype.elementType, f"{path}[]")
+    if isinstance(dtype, T.MapType):
+        inner = schema_paths(dtype.keyType, f"{path}{{key}}") | schema_paths(dtype.valueType, f"{path}{{value}}")
+        return {path: "map"} | inner
+    return {path: dtype.simpleString()}
+
+
 def diff_schema(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Columns added, removed or retyped between two tables (metadata only)."""
-    a = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    b = {f.name: f.dataType.simpleString() for f in target.schema.fields}
+    """Paths added, removed or retyped: ``path, change, from_type, to_type`` (metadata only).
+
+    Nested types are walked to their leaves, so a change deep in a struct, an array or a
+    map is reported where it is; a container that changes its kind is retyped and its
+    inner paths come and go.
+    """
+    new, old = schema_paths(source.schema), schema_paths(target.schema)
     rows = []
-    for name in dict.fromkeys([*a, *b]):
-        if name not in b:
-            rows.append((name, ADDED, None, a[name]))
-        elif name not in a:
-            rows.append((name, REMOVED, b[name], None))
-        elif a[name] != b[name]:
-            rows.append((name, "retyped", b[name], a[name]))
+    for path in dict.fromkeys([*old, *new]):
+        if path not in old:
+            rows.append((path, ADDED, None, new[path]))
+        elif path not in new:
+            rows.append((path, REMOVED, old[path], None))
+        elif old[path] != new[path]:
+            rows.append((path, "retyped", old[path], new[path]))
     return source.sparkSession.createDataFrame(
-        rows, "column string, change string, from_type string, to_type string"
+        rows, "path string, change string, from_type string, to_type string"
     )
+
+
+def filled_paths(df: DataFrame) -> DataFrame:
+    """``path, rows``: how many rows hold a value at each path outside arrays and maps."""
+    paths = [p for p in schema_paths(df.schema) if not re.search(r"[\[{]", p)]
+    if not paths:
+        return df.sparkSession.createDataFrame([], "path string, rows bigint")
+    counts = df.agg(*[F.count(F.col(p)).alias(f"c{i}") for i, p in enumerate(paths)])
+    entries = F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"c{i}").alias("rows")) for i, p in enumerate(paths)])
+    return counts.select(F.inline(entries))

@@ -1,8 +1,9 @@
 """Ancestry over commit graphs, for many heads at once.
 
-Chains are followed by pointer doubling, so their length costs a logarithmic
-number of joins. Every step is written to the shared folder, which keeps plans
-small and lets a lost executor restart from the last step.
+Walks start at the heads they are asked for and take several generations in one job;
+only long first-parent chains go on by pointer doubling, so their length costs a
+logarithmic number of joins. Every step is written to the shared folder, which keeps
+plans small and lets a lost executor restart from the last step.
 """
 
 from __future__ import annotations
@@ -27,109 +28,171 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def commit_log(commits: DataFrame, heads: DataFrame, limit: int | None = None) -> DataFrame:
+def _paths(start: DataFrame, links: DataFrame, hops: int) -> DataFrame:
+    """``start`` (with ``hash``) with ``path``: the next ``hops`` nodes of every way on, shorter at a root.
+
+    ``links`` has ``hash, far``. One chain of joins; nothing is computed twice.
+    """
+    at = start.withColumn("p0", F.col("hash"))
+    for i in range(hops):
+        step = links.select(F.col("hash").alias(f"p{i}"), F.col("far").alias(f"p{i + 1}"))
+        at = at.join(step, f"p{i}", "left")
+    path = F.array_compact(F.array(*[f"p{i + 1}" for i in range(hops)]))
+    return at.select(*start.columns, path.alias("path"))
+
+
+def commit_log(commits: DataFrame, heads: DataFrame, limit: int | None = None, hops: int = 16) -> DataFrame:
     """First-parent chain of each head: ``branch, hash, pos`` with 0 the newest.
 
-    ``heads`` has ``branch, hash``. A cycle ends the walk only through ``limit``.
+    ``heads`` has ``branch, hash``. The first rounds walk ``hops`` commits each from the
+    heads alone; chains that go on are followed by doubling links of that length. A
+    cycle ends the walk only through ``limit``.
     """
     commits = written(commits.select("hash", "parents"), "commits")
     known = commits.select("hash")
-    jump = first_parents(commits).join(
-        known.withColumnRenamed("hash", "parent"), "parent", "left_semi"
-    ).select("hash", "parent")
-    start = heads.join(known, "hash", "left_semi")
-    parts = [written(start.select("branch", "hash", F.lit(0).cast("long").alias("pos")), "chain")]
-    step = 1
-    while limit is None or step < limit:
+    first = first_parents(commits).join(known.withColumnRenamed("hash", "parent"), "parent", "left_semi")
+    first = first.select("hash", F.col("parent").alias("far"))
+    start = heads.join(known, "hash", "left_semi").select("branch", "hash", F.lit(0).cast("long").alias("pos"))
+    parts, covered = [start], 0
+    for _ in range(4):
+        if limit is not None and covered >= limit - 1:
+            break
+        steps = _paths(start, first, hops).select("branch", "pos", F.posexplode("path").alias("i", "hash"))
+        added = written(steps.select("branch", "hash", (F.col("pos") + F.col("i") + 1).alias("pos")), "chain")
+        parts.append(added)
+        covered += hops
+        start = added.where(F.col("pos") == covered)
+        if start.isEmpty():
+            covered = None
+            break
+    if covered is not None and (limit is None or covered < limit - 1):
+        parts += _doubled(first, start, covered, limit)
+    chain = _union(parts)
+    return chain if limit is None else chain.where(F.col("pos") < limit)
+
+
+def _doubled(first: DataFrame, start: DataFrame, covered: int, limit: int | None) -> list[DataFrame]:
+    """The rest of the chains from ``start`` at position ``covered``, by pointer doubling."""
+    parts, jump, step = [written(start, "chain")], first, 1
+    while limit is None or covered + step < limit:
         longer = _union(parts).join(jump, "hash").select(
-            "branch", F.col("parent").alias("hash"), (F.col("pos") + step).alias("pos")
+            "branch", F.col("far").alias("hash"), (F.col("pos") + step).alias("pos")
         )
         added = written(longer, "chain")
         if added.isEmpty():
             break
         parts.append(added)
         step *= 2
-        if limit is None or step < limit:
-            far = jump.select(F.col("hash").alias("parent"), F.col("parent").alias("far"))
-            twice = jump.join(far, "parent").select("hash", F.col("far").alias("parent"))
-            jump = written(twice, "jump")
-    chain = _union(parts)
-    return chain if limit is None else chain.where(F.col("pos") < limit)
+        far = jump.select(F.col("hash").alias("far"), F.col("far").alias("__on"))
+        jump = written(jump.join(far, "far").select("hash", F.col("__on").alias("far")), "jump")
+    return parts[1:]
 
 
 def ancestors(
-    commits: DataFrame, heads: DataFrame, max_depth: int | None = None, hops: int = 8
+    commits: DataFrame, heads: DataFrame, max_depth: int | None = None, hops: int = 6
 ) -> DataFrame:
     """All ancestors of each head: ``head, hash, depth``; safe on cycles.
 
-    The head itself has depth -1 and its parents depth 0; the smallest depth
-    wins. A round follows links of up to ``reach`` generations; between rounds
-    the links are squared until they reach ``hops``, so shallow histories end
-    after a few rounds and deep ones advance ``hops`` generations at a time.
+    The head itself has depth -1 and its parents depth 0; the smallest depth wins. A
+    round walks ``hops`` generations from the nodes the last one has ended at.
     """
-    commits = written(commits.select("hash", "parents"), "commits")
-    known = commits.select("hash")
-    links = (
-        edges(commits)
-        .join(known.withColumnRenamed("hash", "parent"), "parent", "left_semi")
-        .select("hash", F.col("parent").alias("far"), F.lit(1).alias("dist"))
-        .distinct()
-    )
-    own = heads.select("hash").distinct().join(known, "hash", "left_semi")
-    parts = [
-        written(own.select(F.col("hash").alias("head"), "hash", F.lit(-1).alias("depth")), "found")
-    ]
-    covered, reach = -1, 1
-    while max_depth is None or covered < max_depth:
-        found = _union(parts)
-        # Every path to a deeper node passes a found node of these depths.
-        frontier = found.where(F.col("depth") > covered - reach)
-        next_ones = (
-            frontier.join(links, "hash")
-            .groupBy("head", F.col("far").alias("hash"))
-            .agg(F.min(F.col("depth") + F.col("dist")).alias("depth"))
-            .join(found.select("head", "hash"), ["head", "hash"], "left_anti")
-            .select("head", "hash", "depth")
-        )
-        newer = written(next_ones, "found")
-        if newer.isEmpty():
-            break
-        parts.append(newer)
-        covered += reach
-        if reach < hops:
-            links = written(_squared(links), "links")
-            reach *= 2
-    found = _union(parts)
+    walk = _Walk(commits, heads, hops)
+    while not walk.ended and (max_depth is None or walk.covered < max_depth):
+        walk.advance()
+    found = walk.found().select("head", "hash", "depth")
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
-def _squared(links: DataFrame) -> DataFrame:
-    """Links of at most twice the length, shortest distance per pair."""
-    left = links.select("hash", F.col("far").alias("via"), F.col("dist").alias("d1"))
-    right = links.select(F.col("hash").alias("via"), "far", F.col("dist").alias("d2"))
-    twice = left.join(right, "via").select(
-        "hash", "far", (F.col("d1") + F.col("d2")).alias("dist")
-    )
-    return links.union(twice).groupBy("hash", "far").agg(F.min("dist").alias("dist"))
+class _Walk:
+    """Breadth-first walks from many heads, a few generations at a time."""
+
+    def __init__(self, commits: DataFrame, heads: DataFrame, hops: int):
+        level = F.col("generation") if "generation" in commits.columns else F.lit(None)
+        commits = written(commits.select("hash", "parents", level.cast("long").alias("level")), "commits")
+        known = commits.select(F.col("hash").alias("far"), "level")
+        links = edges(commits).select("hash", F.col("parent").alias("far")).distinct()
+        # A node carries its level, so that none is looked up again.
+        self.links = written(links.join(known, "far").select("hash", F.struct("far", "level").alias("far")), "links")
+        own = heads.select("hash").distinct().join(commits.select("hash", "level"), "hash")
+        node = F.struct(F.col("hash").alias("far"), "level")
+        self.front = written(
+            own.select(F.col("hash").alias("head"), "hash", F.lit(-1).alias("depth"), "level", node.alias("node")), "found"
+        )
+        self.parts, self.covered, self.hops, self.ended = [self.front], -1, hops, False
+
+    def found(self) -> DataFrame:
+        return _union(self.parts)
+
+    def advance(self) -> None:
+        links = self.links.select("hash", "far")
+        at = self.front.select("head", F.col("node").alias("p0"))
+        for i in range(self.hops):
+            step = links.select(F.col("hash").alias(f"__h{i}"), F.col("far").alias(f"p{i + 1}"))
+            at = at.join(step, F.col(f"p{i}.far") == F.col(f"__h{i}"), "left").drop(f"__h{i}")
+        path = F.array_compact(F.array(*[f"p{i + 1}" for i in range(self.hops)]))
+        steps = at.select("head", F.posexplode(path).alias("i", "node"))
+        nearest = steps.groupBy("head", F.col("node.far").alias("hash")).agg(
+            F.min("i").alias("i"), F.any_value("node").alias("node")
+        )
+        nearest = nearest.select(
+            "head", "hash", (F.col("i") + (self.covered + 1)).cast("int").alias("depth"), F.col("node.level").alias("level"), "node"
+        )
+        # Only heads that are still walked are looked up.
+        seen = self.found().select("head", "hash").join(self.front.select("head").distinct(), "head", "left_semi")
+        newer = written(nearest.join(seen, ["head", "hash"], "left_anti"), "found")
+        self.parts.append(newer)
+        self.covered += self.hops
+        self.front = newer.where(F.col("depth") == self.covered)
+        self.ended = self.front.isEmpty()
+
+    def keep(self, heads: DataFrame) -> None:
+        """Walk on from these heads only."""
+        self.front = self.front.join(heads, "head", "left_semi")
+        self.ended = self.front.isEmpty()
 
 
-def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 8) -> DataFrame:
+def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 6) -> DataFrame:
     """Merge base of each pair ``a, b`` of commits: ``a, b, base, depth``.
 
     The base is the common ancestor (a head counts as its own) nearest to ``b``;
     ties go to the smaller hash. Pairs without one are missing.
+
+    Both sides of all pairs are walked at once, and a pair leaves when its base is
+    certain. ``commits`` may have a ``generation``, larger than that of all parents: an
+    ancestor of ``a`` that is not found yet then has a smaller one than the nodes the
+    walk from ``a`` stands at, so nodes of ``b`` above these are no common ancestors.
+    Without it a pair leaves when the walk from ``a`` has ended or ``b`` itself is met.
     """
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
     heads = pairs.select(F.explode(F.array("a", "b")).alias("hash"))
-    up = ancestors(commits, heads, hops=hops)
-    of_a = pairs.join(up.select(F.col("head").alias("a"), "hash"), "a")
-    of_b = pairs.join(up.select(F.col("head").alias("b"), "hash", "depth"), "b")
-    best = F.struct("depth", "hash")
-    return (
-        of_b.join(of_a, ["a", "b", "hash"], "left_semi")
-        .groupBy("a", "b")
-        .agg(F.min(best).alias("m"))
-        .select("a", "b", F.col("m.hash").alias("base"), F.col("m.depth").alias("depth"))
-    )
+    walk = _Walk(commits, heads, hops)
+    bases, open_ = [], pairs
+    while True:
+        found = walk.found().select("head", "hash", "depth", "level")
+        up = found.join(open_.select(F.explode(F.array("a", "b")).alias("head")).distinct(), "head", "left_semi")
+        of_a = open_.join(up.select(F.col("head").alias("a"), "hash", F.lit(True).alias("met")), "a")
+        of_b = open_.join(up.withColumnRenamed("head", "b"), "b")
+        # How high the walk from a still stands; null where it has ended.
+        stands = walk.front.groupBy(F.col("head").alias("a")).agg(
+            F.max(F.coalesce("level", F.lit((1 << 63) - 1))).alias("stands")
+        )
+        both = of_b.join(of_a, ["a", "b", "hash"], "left").join(stands, "a", "left")
+        unsure = F.col("met").isNull() & (F.col("level").isNull() | (F.col("level") < F.col("stands"))) & F.col("stands").isNotNull()
+        judged = both.groupBy("a", "b").agg(
+            F.min(F.when(F.col("met"), F.struct("depth", "hash"))).alias("m"),
+            F.min(F.when(unsure, F.col("depth"))).alias("unsure"),
+        )
+        judged = written(judged, "judged")
+        sure = F.col("m").isNotNull() & (F.col("unsure").isNull() | (F.col("m.depth") < F.col("unsure")))
+        bases.append(judged.where(sure).select("a", "b", F.col("m.hash").alias("base"), F.col("m.depth").alias("depth")))
+        if walk.ended:
+            break
+        open_ = judged.where(~sure).select("a", "b")
+        walk.keep(open_.select(F.explode(F.array("a", "b")).alias("head")).distinct())
+        if walk.ended:
+            continue  # the nodes found so far decide the rest
+        walk.advance()
+    return _union(bases)
 
 
 def nesting_depth(nodes: DataFrame, name: str = "name", parent: str = "parent") -> DataFrame:

@@ -335,11 +335,11 @@ def stale_approvals(requests: DataFrame, changelog: DataFrame) -> DataFrame:
     )
 
     def changed(side: str, name: str, seq: str) -> Column:
-        text = F.concat(F.lit(f'{side} branch "'), name, F.lit('" changed since approval'))
+        text = F.concat(F.lit(f"{side} "), name, F.lit(" has moved on since its approval"))
         return F.when(F.col(seq) > F.col("approval_seq"), text)
 
     reason = F.when(
-        F.col("approval_seq").isNull(), "missing an approval drift baseline"
+        F.col("approval_seq").isNull(), "approved at no known position"
     ).otherwise(
         F.concat_ws("; ", changed("source", "source", "s_seq"), changed("target", "target", "t_seq"))
     )

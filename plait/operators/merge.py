@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from ..functions.canonical import as_text, comparable, struct_text
+from . import changesets
 from .diff import diff_rows, differs
-from .keys import align, key_text, row_struct, value_types
+from .keys import PRESENT, align, key_text, row_struct, same_key, value_types
 
 ADD, DELETE, MODIFY, SKIP = "add", "delete", "modify", "skip"
 THEIRS_DELETED, OURS_DELETED = "theirs_deleted", "ours_deleted"
@@ -53,7 +54,11 @@ def _field_states(types: dict[str, T.DataType]) -> dict[str, tuple[Column, Colum
 
 def diff3(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str]) -> MergePlan:
     """Classify every key of three versions; see the outcome constants."""
-    rows, types = align({"base": base, "ours": ours, "theirs": theirs}, keys)
+    return classify(*align({"base": base, "ours": ours, "theirs": theirs}, keys), keys)
+
+
+def classify(rows: DataFrame, types: dict[str, T.DataType], keys: list[str]) -> MergePlan:
+    """Classify rows of ``base, ours, theirs`` by key (NULL: absent in that version)."""
     b, o, r = F.col("base"), F.col("ours"), F.col("theirs")
     states = _field_states(types)
     schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
@@ -189,6 +194,12 @@ def merged_rows(
     A row with a field conflict takes over only its conflicting fields; fields
     that only theirs changed are kept for such rows with ``keep_clean_fields``.
     """
+    dropped, fields = _resolution(plan, strategy, keep_clean_fields)
+    return plan.rows.where(~dropped).select(*plan.keys, *fields)
+
+
+def _resolution(plan: MergePlan, strategy: str, keep_clean_fields: bool) -> tuple[Column, list[Column]]:
+    """Whether the merged target lacks a row, and its fields if not."""
     theirs_wins = F.lit(strategy == "theirs")
     out = F.col("outcome")
     dropped = (
@@ -209,7 +220,51 @@ def merged_rows(
         fields.append(
             F.when(from_theirs, F.col("theirs")[n]).otherwise(F.col("ours")[n]).alias(n)
         )
-    return plan.rows.where(~dropped).select(*plan.keys, *fields)
+    return dropped, fields
+
+
+def merged_changes(
+    plan: MergePlan, columns: list[str], strategy: str = "ours", keep_clean_fields: bool = False
+) -> DataFrame:
+    """What :func:`merged_rows` changes in ours, as ``op, key, before, after``.
+
+    ``columns`` names the target's columns in order; images hold whole rows.
+    """
+    dropped, fields = _resolution(plan, strategy, keep_clean_fields)
+    values = {n: f for n, f in zip(plan.types, fields)}
+    after = F.struct(*[F.col(c) if c in plan.keys else values[c].alias(c) for c in columns])
+    ours = F.struct(*[F.col(c) if c in plan.keys else F.col("ours")[c].alias(c) for c in columns])
+    rows = plan.rows.select(
+        F.struct(*plan.keys).alias("key"),
+        F.when(F.col("ours").isNotNull(), ours).alias("before"),
+        F.when(~dropped, after).alias("after"),
+    )
+    return changesets.with_op(rows)
+
+
+def diff3_changes(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> MergePlan:
+    """:func:`diff3` from what both sides changed since the base, without the tables.
+
+    ``ours`` and ``theirs`` are net changes (``key, before, after``, one per key). Only keys
+    that theirs changed can change ours: where ours left the row alone, its row is theirs'
+    before-image. Rows that neither changed are neither read nor moved.
+    """
+    types = {f.name: f.dataType for f in theirs.schema["after"].dataType.fields if f.name not in keys}
+    own = ours.select(
+        *[F.col("key")[k].alias(f"__o_{k}") for k in keys], F.lit(True).alias("__hit"), F.col("after").alias("__after")
+    )
+    rows = theirs.select(*[F.col("key")[k].alias(k) for k in keys], "before", "after")
+    rows = rows.join(own, same_key(keys, "__o_"), "left")
+
+    def values(image: Column) -> Column:
+        fields = [image[n].alias(n) for n in types] or [F.lit(True).alias(PRESENT)]
+        return F.when(image.isNotNull(), F.struct(*fields))
+
+    before, after, mine = (values(F.col(c)) for c in ("before", "after", "__after"))
+    rows = rows.select(
+        *keys, before.alias("base"), F.when(F.col("__hit"), mine).otherwise(before).alias("ours"), after.alias("theirs")
+    )
+    return classify(rows, types, keys)
 
 
 def merge3(

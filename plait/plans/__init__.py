@@ -22,22 +22,26 @@ MODULES = [
     "searching",
     "feeds",
     "storing",
+    "histories",
 ]
 
 
 # Result columns that hold exact decimals; handed out as doubles on both sides.
 DECIMALS = {
-    "o_totalprice": "d1 d2 d3 m5_merge3 m6_merge2 m7_merge_detect_abort m8 s5 t7_find t7_merge t10 t11",
+    "o_totalprice": "d1 d2 d3 m5_merge3 m6_merge2 m7_merge_detect_abort m8 s5 t7_find_at_hash t7_merge t10 t11",
     "new_price": "m10",
     "balance": "t7_table c11_replay c11_undo_last r8",
     "after": "c10 d12",
     "before": "d12",
 }
-_COUNTS_ONLY = ("m6_merge2_dry_run", "t10_cherry_pick_counts", "c11_undo_last_log")
+_WITHOUT = (
+    "m6_merge2_dry_run", "t10_cherry_pick_counts", "c11_undo_last_log", "c10_op_log_by_table", "c10_op_log_by_user",
+    "m10_merge_gate",
+)
 
 
 def _decimal_columns(name: str) -> list[str]:
-    if name in _COUNTS_ONLY:
+    if name in _WITHOUT:
         return []
     parts = {c: tuple(f"{p}_" if p[-1].isdigit() and "_" not in p else p for p in starts.split())
              for c, starts in DECIMALS.items()}

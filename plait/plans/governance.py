@@ -89,10 +89,10 @@ def _verify_sql(source: str, where: str = "true") -> str:
     return f"""chk AS (SELECT *, lag(chain_hash) OVER w AS before_hash, lag(sequence) OVER w AS before_seq FROM {source} WHERE {where}
     WINDOW w AS (PARTITION BY chain ORDER BY sequence)),
 res AS (SELECT chain, sequence, CASE
-  WHEN before_seq IS NULL THEN CASE WHEN sequence = 0 AND chain_hash <> sha256('GENESIS:' || data_hash || ':0') THEN 'Genesis entry chainHash mismatch' END
-  WHEN prev_hash <> before_hash THEN 'Entry ' || sequence || ' prevHash doesn''t match entry ' || before_seq || ' chainHash'
-  WHEN data_hash <> sha256(detail) THEN 'Entry ' || sequence || ' detail was tampered — dataHash mismatch'
-  WHEN chain_hash <> sha256(prev_hash || ':' || data_hash || ':' || sequence) THEN 'Entry ' || sequence || ' chainHash mismatch' END AS reason FROM chk)
+  WHEN before_seq IS NULL THEN CASE WHEN sequence = 0 AND chain_hash <> sha256('GENESIS:' || data_hash || ':0') THEN 'first entry: its chain hash is wrong' END
+  WHEN prev_hash <> before_hash THEN 'entry ' || sequence || ' does not follow entry ' || before_seq
+  WHEN data_hash <> sha256(detail) THEN 'entry ' || sequence || ': its data hash does not fit its detail'
+  WHEN chain_hash <> sha256(prev_hash || ':' || data_hash || ':' || sequence) THEN 'entry ' || sequence || ': its chain hash is wrong' END AS reason FROM chk)
 SELECT chain, count(reason) = 0 AS valid, count(*) AS total_entries, min(sequence) FILTER (reason IS NOT NULL) AS broken_at,
        arg_min(reason, sequence) FILTER (reason IS NOT NULL) AS broken_reason FROM res GROUP BY chain"""
 
@@ -190,6 +190,27 @@ def s9_json(spark, sf):
     return a.chain_export(entries).select(F.from_json("line", doc).alias("d")).select("d.*")
 
 
+@query(
+    "s9_export_chain_whole",
+    f"""WITH RECURSIVE {CHAIN}, n AS (SELECT w.chain, count(*) AS n FROM walk w JOIN entries e ON e.chain = w.chain AND e.sequence = w.sequence GROUP BY w.chain)
+        SELECT chain, 0 AS part, CAST(-1 AS BIGINT) AS sequence, '# audit chain as of 2024-01-31' AS line FROM n
+        UNION ALL SELECT chain, 1, -1, '# valid: true, entries: ' || n FROM n
+        UNION ALL SELECT chain, 2, -1, 'sequence,entryType,branchName,actor,action,detail,dataHash,prevHash,chainHash,timestamp' FROM n
+        UNION ALL SELECT w.chain, 9, w.sequence, w.sequence || ',write,b' || w.chain || ',u' || split_part(w.detail, ':', 2) || ',' ||
+        split_part(w.detail, ':', 1) || ',"' || w.detail || '",' || data_hash || ',' || prev_hash || ',' || chain_hash || ',' ||
+        strftime(e.ts, '%Y-%m-%dT%H:%M:%S.') || substr(strftime(e.ts, '%f'), 1, 3) || 'Z'
+        FROM walk w JOIN entries e ON e.chain = w.chain AND e.sequence = w.sequence""",
+)
+def s9_whole(spark, sf):
+    """Every chain as one verified document, header lines first."""
+    entries = _entries(spark, sf).select(
+        "*",
+        F.lit("write").alias("entry_type"),
+        F.concat(F.lit("b"), F.col("chain").cast("string")).alias("branch"),
+    )
+    return a.chain_document(entries, "csv", "2024-01-31", ["chain"])
+
+
 # --- rules on branch names ----------------------------------------------------------------------
 
 # Pattern, merge-only flag, order.

@@ -55,15 +55,16 @@ def commit_graph(spark, sf) -> DataFrame:
     none = F.array().cast("array<string>")
     regions = table(spark, sf, "region").select(
         _id("R", "r_regionkey").alias("hash"), F.lit("main").alias("branch"),
-        none.alias("parents"), stamp("1990-01-01").alias("ts"),
+        none.alias("parents"), stamp("1990-01-01").alias("ts"), F.lit(0).cast("long").alias("generation"),
     )
     nations = table(spark, sf, "nation").select(
         _id("N", "n_nationkey"), F.lit("main"), F.array(_id("R", "n_regionkey")),
-        stamp("1990-01-01") + F.expr("make_dt_interval(n_nationkey + 1)"),
+        stamp("1990-01-01") + F.expr("make_dt_interval(n_nationkey + 1)"), F.lit(1).cast("long"),
     )
     customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     firsts = customers.select(
-        _id("C", "c_custkey"), _id("b", "c_custkey"), F.array(_id("N", "c_nationkey")), stamp("1994-01-01")
+        _id("C", "c_custkey"), _id("b", "c_custkey"), F.array(_id("N", "c_nationkey")), stamp("1994-01-01"),
+        F.lit(2).cast("long"),
     )
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"
@@ -75,7 +76,9 @@ def commit_graph(spark, sf) -> DataFrame:
     parents = F.when(
         F.col("o_orderpriority") == "1-URGENT", F.array(first, _id("N", "c_nationkey"))
     ).otherwise(F.array(first))
-    steps = linked.select(_id("O", "o_orderkey"), _id("b", "o_custkey"), parents, "o_orderdate")
+    # A customer's orders follow each other by key, so the key grows along the chain.
+    above = (F.col("o_orderkey") + 3).cast("long")
+    steps = linked.select(_id("O", "o_orderkey"), _id("b", "o_custkey"), parents, "o_orderdate", above)
     return regions.union(nations).union(firsts).union(steps)
 
 
@@ -560,8 +563,8 @@ def _requests(spark, sf) -> DataFrame:
 @query(
     "t22_stale_approvals",
     f"""WITH {_CHANGES}, {_REQUESTS}, last AS (SELECT branch, max(seq) AS s FROM changelog GROUP BY branch),
-        j AS (SELECT r.id, CASE WHEN s.s > approval_seq THEN 'source branch "' || source || '" changed since approval' END AS a,
-                     CASE WHEN t.s > approval_seq THEN 'target branch "' || target || '" changed since approval' END AS b
+        j AS (SELECT r.id, CASE WHEN s.s > approval_seq THEN 'source ' || source || ' has moved on since its approval' END AS a,
+                     CASE WHEN t.s > approval_seq THEN 'target ' || target || ' has moved on since its approval' END AS b
               FROM requests r LEFT JOIN last s ON s.branch = source LEFT JOIN last t ON t.branch = target WHERE status = 'approved')
         SELECT id, concat_ws('; ', a, b) AS reason FROM j WHERE a IS NOT NULL OR b IS NOT NULL""",
 )

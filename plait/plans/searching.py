@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import cosine
-from ..operators import diff as d, merge as m, search as s
+from ..operators import changesets as cs, diff as d, indexes, merge as m, search as s
+from ..session import fresh_path
 from .tables import table
 
 QUERIES: dict = {}
@@ -77,6 +78,79 @@ def x3_top(spark, sf):
     return s.text_search(table(spark, sf, "documents"), "doc_id", _TERMS, ["lang", "text"], 25)
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def _once(spark, sf, kind: str, make) -> str:
+    """The folder of an index that is made once per session."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _INDEXES:
+        path = fresh_path(spark, kind)
+        make(path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def _texts(spark, path: str) -> indexes.TextIndex:
+    return indexes.TextIndex(spark, path, "doc_id", ["lang", "text"])
+
+
+@query("x3_text_search_stored", f"WITH {_BM25} SELECT doc_id, score FROM hits")
+def x3_stored(spark, sf):
+    path = _once(spark, sf, "texts", lambda p: _texts(spark, p).build(table(spark, sf, "documents")))
+    return _texts(spark, path).search(_TERMS)
+
+
+@query(
+    "x3_text_search_updated",
+    f"""WITH {_BM25.replace("FROM documents)", "FROM edited)").replace("tok AS", """edited AS (
+          SELECT doc_id, lang, CASE WHEN doc_id % 10 = 3 THEN text || ' the queaux' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4
+          UNION ALL SELECT -doc_id - 1, lang, 'tion ' || text FROM documents WHERE doc_id % 10 = 5), tok AS""")} SELECT doc_id, score FROM hits""",
+)
+def x3_updated(spark, sf):
+    """Statistics made before an edit and kept up by its change set."""
+    docs = table(spark, sf, "documents")
+    part = F.col("doc_id") % 10
+    new = docs.where(part != 4).withColumn(
+        "text", F.when(part == 3, F.concat("text", F.lit(" the queaux"))).otherwise(F.col("text"))
+    ).unionByName(
+        docs.where(part == 5).withColumn("doc_id", -F.col("doc_id") - 1).withColumn("text", F.concat(F.lit("tion "), "text"))
+    )
+
+    def make(path: str) -> None:
+        _texts(spark, path).build(docs).apply(cs.capture(docs, new, ["doc_id"]), 1)
+
+    return _texts(spark, _once(spark, sf, "texts-updated", make)).search(_TERMS)
+
+
+def _cells(spark, sf) -> indexes.VectorCells:
+    def make(path: str) -> None:
+        indexes.VectorCells(spark, path, "vec_id", "embedding").build(table(spark, sf, "embeddings"), cells=16)
+
+    return indexes.VectorCells(spark, _once(spark, sf, "cells", make), "vec_id", "embedding")
+
+
+def _asked(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings").where("vec_id % 50 = 0")
+    return e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+
+
+_TEN = f"""SELECT b.vec_id AS query, a.vec_id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+   WHERE b.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_COS}, 9) DESC, a.vec_id) <= 10"""
+
+
+@query("x2_vector_all_cells", _TEN)
+def x2_all(spark, sf):
+    """Searching all cells is exact."""
+    return _cells(spark, sf).search(_asked(spark, sf), 10, probes=16).withColumn("score", F.round("score", 6))
+
+
+@query("x2_vector_candidates")
+def x2_cells(spark, sf):
+    """The ten nearest rows among the candidates of a few cells; recall is tested."""
+    return _cells(spark, sf).search(_asked(spark, sf), 10, probes=8).withColumn("score", F.round("score", 6))
+
+
 def _ranked(df: DataFrame, key: str) -> DataFrame:
     """Ranks of a short result list."""
     w = Window.orderBy(F.desc("score"), key)

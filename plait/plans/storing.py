@@ -238,7 +238,7 @@ def t16(spark, sf):
     store, name = _store(spark, sf), _name()
     store.create_branch(name)
     _edit(store, name)
-    path = store.branch(name).tables["customer"].path
+    path = store.branch(name).tables["customer"].base
     store.delete_branch(name)
     found = store.garbage().where(F.col("path") == path)
     return found.select(F.lit("customer").alias("table"), F.lit(True).alias("unreferenced"))

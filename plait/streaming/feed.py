@@ -105,6 +105,58 @@ def run_feed(
     return failures
 
 
+def run_handlers(feed: DataFrame, handlers: dict[str, Handler], checkpoint: str, failures: str) -> DataFrame:
+    """:func:`run_feed` with a table of failures: ``batch, handler, error``.
+
+    The table at ``failures`` outlives the run and holds the failures of all runs; a
+    batch that is repeated after a crash may be in it twice.
+    """
+    spark = feed.sparkSession
+    schema = "batch bigint, handler string, error string"
+    spark.createDataFrame([], schema).write.mode("append").parquet(failures)
+
+    def each(batch: DataFrame, number: int) -> None:
+        found = []
+        for name, handler in handlers.items():
+            try:
+                handler(batch)
+            except Exception as error:
+                found.append((number, name, f"{type(error).__name__}: {error}"))
+        if found:
+            spark.createDataFrame(found, schema).coalesce(1).write.mode("append").parquet(failures)
+
+    _drain(feed.writeStream.foreachBatch(each), checkpoint)
+    return spark.read.schema(schema).parquet(failures)
+
+
+def resume_token(events: DataFrame) -> str | None:
+    """An opaque text for the position after the given events; None if there are none."""
+    last = events.agg(F.max("seq")).first()[0]
+    return None if last is None else f"seq:{last}"
+
+
+def position_of(token: str | None) -> int | None:
+    """The position a token stands for; None is the start."""
+    if token is None:
+        return None
+    kind, _, number = token.partition(":")
+    if kind != "seq" or not number.isdigit():
+        raise ValueError(f"no resume token: {token!r}")
+    return int(number)
+
+
+def feed_after(changes: DataFrame, token: str | None, branch: str | None = None) -> DataFrame:
+    """Feed events that follow a token's position, none of those before it."""
+    at = position_of(token)
+    return change_feed(changes if at is None else changes.where(F.col("seq") > at), branch)
+
+
+def feed_until(changes: DataFrame, token: str | None, branch: str | None = None) -> DataFrame:
+    """Feed events up to a token's position."""
+    at = position_of(token)
+    return change_feed(changes.where(F.lit(False) if at is None else F.col("seq") <= at), branch)
+
+
 def _drain(writer, checkpoint: str) -> StreamingQuery:
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -171,6 +223,7 @@ def write_change(batch_number: int, log: DataFrame, folder: str) -> None:
 
 __all__ = [
     "CHANGELOG", "DELETE", "INSERT", "apply_feed", "change_feed", "changed_since",
-    "current_table", "events_since", "once_per_request", "read_changes", "removed_fields",
-    "run_feed", "save_feed", "updated_fields", "write_change",
+    "current_table", "events_since", "feed_after", "feed_until", "once_per_request", "position_of",
+    "read_changes", "removed_fields", "resume_token", "run_feed", "run_handlers", "save_feed",
+    "updated_fields", "write_change",
 ]

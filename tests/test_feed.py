@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from plait.streaming import feed as f
@@ -87,3 +88,48 @@ def test_apply_feed(spark, tmp_path):
         got = rows(f.current_table(spark, base, sets, ["id"]))
         assert got == ([(1, "y"), (2, "b"), (3, "n")] if i == 0 else [(1, "y"), (3, "m")])
     assert rows(f.current_table(spark, None, sets, ["id"])) == [(1, "y"), (3, "m")]
+
+
+def test_resume_tokens(spark):
+    log = spark.createDataFrame(
+        [(i, "dev" if i % 3 else "main", "t", "insert", str(i), None, "{}", None) for i in range(20)], f.CHANGELOG
+    )
+    assert f.resume_token(log.where("false")) is None and f.position_of(None) is None
+    seen, token = [], None
+    for upto in (6, 6, 13, 19):  # the second run finds nothing new
+        part = log.where(f"seq <= {upto}")
+        events = f.feed_after(part, token, "dev").collect()
+        seen += [e["seq"] for e in events]
+        token = f.resume_token(part)
+    assert seen == [i for i in range(20) if i % 3]
+    assert [e["seq"] for e in f.feed_until(log, "seq:4").collect()] == [0, 1, 2, 3, 4]
+    assert f.feed_until(log, None).isEmpty() and f.feed_after(log, None).count() == 20
+    for bad in ("5", "seq:x", ""):
+        with pytest.raises(ValueError):
+            f.feed_after(log, bad)
+
+
+def test_failing_handlers_are_listed(spark, tmp_path):
+    for i in range(3):
+        rows = [(10 * i + j, "dev", "t", "insert", str(j), None, "{}", None) for j in range(4)]
+        spark.createDataFrame(rows, f.CHANGELOG).coalesce(1).write.parquet(str(tmp_path / f"log/part={i}"))
+    changes = f.read_changes(spark, str(tmp_path / "log/*"), files_per_batch=1)
+    done = []
+
+    def count(batch):
+        done.append(batch.count())
+
+    def second(batch):
+        if batch.where("seq >= 10 AND seq < 20").count():
+            raise KeyError("ten")
+
+    def broken(batch):
+        raise ValueError("always")
+
+    handlers = {"count": count, "second": second, "broken": broken}
+    failed = f.run_handlers(f.change_feed(changes), handlers, str(tmp_path / "c"), str(tmp_path / "f"))
+    assert sorted(done) == [4, 4, 4]
+    assert sorted(map(tuple, failed.select("handler", "error").collect())) == [
+        ("broken", "ValueError: always")] * 3 + [("second", "KeyError: 'ten'")]
+    again = f.run_handlers(f.change_feed(changes), handlers, str(tmp_path / "c"), str(tmp_path / "f"))
+    assert again.count() == 4 and len(done) == 3

@@ -280,8 +280,8 @@ def test_drift_and_deploy_messages(spark):
         "id string, source string, target string, status string, approval_seq bigint",
     )
     assert rows(h.stale_approvals(requests, log)) == [
-        ("r1", 'source branch "dev" changed since approval; target branch "main" changed since approval'),
-        ("r3", "missing an approval drift baseline"),
+        ("r1", "source dev has moved on since its approval; target main has moved on since its approval"),
+        ("r3", "approved at no known position"),
     ]
 
 
@@ -343,3 +343,79 @@ def test_update_expressions(spark):
     ).collect()
     assert list(got[0]) == [2, 0, 4, 9, ["a", "b", "z"], ["a", "b", "c"], ["q", "a"], ["a"]]
     assert list(got[1])[:7] == [8, 18, 4, 9, ["z"], ["b", "c"], ["q"]]
+
+
+# --- ancestry against plain walks ------------------------------------------------------------
+
+
+def plain_up(graph, head):
+    """Least number of steps from a head to each ancestor, less one."""
+    depth, front = {head: -1}, [head]
+    while front:
+        nexts = [p for h in front for p in graph[h] if p in graph and p not in depth]
+        depth |= {p: depth[h] + 1 for h in front for p in graph[h] if p in graph and p not in depth}
+        front = list(dict.fromkeys(nexts))
+    return depth
+
+
+def plain_base(graph, a, b):
+    up_a, up_b = plain_up(graph, a), plain_up(graph, b)
+    return min(((d, h) for h, d in up_b.items() if h in up_a), default=None)
+
+
+def random_graph(rng, size, merges, roots=3):
+    """Commits named by number, each newer than its parents, and their generations."""
+    graph, level = {}, {}
+    for i in range(size):
+        name = f"c{i:04d}"
+        known = list(graph)
+        near = known[-6:] if rng.random() < 0.8 else known
+        parents = [] if i < roots else rng.sample(near, min(len(near), 2 if rng.random() < merges else 1))
+        graph[name], level[name] = parents, 1 + max([level[p] for p in parents], default=-1)
+    return graph, level
+
+
+@pytest.mark.parametrize("hops, merges, levels", [(1, 0.3, True), (6, 0.3, True), (3, 0.8, True), (2, 0.3, False), (6, 0.0, False)])
+def test_merge_bases_against_walks(spark, hops, merges, levels):
+    rng = random.Random(hops * 10 + int(merges * 10))
+    graph, level = random_graph(rng, 120, merges)
+    names = list(graph)
+    rows = [(h, p, level[h]) for h, p in graph.items()] + [("torn", ["gone", "c0005"], 99)]
+    graph["torn"] = ["gone", "c0005"]
+    commits = spark.createDataFrame(rows, "hash string, parents array<string>, generation long")
+    commits = commits if levels else commits.drop("generation")
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(60)] + [("c0100", "c0100"), ("torn", "c0050"), ("none", "c0001")]
+    got = g.common_ancestor(commits, spark.createDataFrame(pairs, "a string, b string"), hops=hops).collect()
+    want = {(a, b): plain_base(graph, a, b) for a, b in pairs if a in graph}
+    assert {(r.a, r.b): (r.depth, r.base) for r in got} == {k: v for k, v in want.items() if v is not None}
+    assert len(got) == len({(r.a, r.b) for r in got})
+
+
+def test_pairs_leave_when_they_are_certain(spark, monkeypatch):
+    """Two branches of a long history that part near its end: the walk stops there."""
+    graph = {f"m{i:04d}": [f"m{i - 1:04d}"] if i else [] for i in range(400)}
+    graph |= {"a1": ["m0395"], "a2": ["a1"], "b1": ["m0390"], "b2": ["b1"], "b3": ["b2", "m0380"]}
+    level = {h: int(h[1:]) for h in graph if h[0] == "m"} | {"a1": 396, "a2": 397, "b1": 391, "b2": 392, "b3": 393}
+    commits = spark.createDataFrame([(h, p, level[h]) for h, p in graph.items()], "hash string, parents array<string>, generation long")
+    rounds = []
+    advance = g._Walk.advance
+    monkeypatch.setattr(g._Walk, "advance", lambda w: rounds.append(1) or advance(w))
+    got = g.common_ancestor(commits, spark.createDataFrame([("a2", "b3")], "a string, b string")).first()
+    assert (got.base, got.depth) == ("m0380", 0) and len(rounds) <= 4
+    walked = g.ancestors(commits, spark.createDataFrame([("b3",)], "hash string")).collect()
+    assert {r.hash: r.depth for r in walked} == plain_up(graph, "b3")
+
+
+@pytest.mark.parametrize("limit, hops", [(None, 16), (50, 16), (100, 16), (None, 2), (9, 2), (1, 16)])
+def test_logs_of_long_and_short_chains(spark, limit, hops):
+    graph = {f"m{i:04d}": [f"m{i - 1:04d}"] if i else [] for i in range(150)} | {"x1": ["m0003", "m0100"], "y": ["lost"]}
+    commits = spark.createDataFrame(list(graph.items()), "hash string, parents array<string>")
+    heads = [("long", "m0149"), ("short", "x1"), ("torn", "y"), ("none", "nowhere"), ("twin", "m0149")]
+    got = sorted((r.branch, r.pos, r.hash) for r in g.commit_log(commits, spark.createDataFrame(heads, "branch string, hash string"), limit, hops).collect())
+    want = []
+    for branch, h in heads:
+        pos = 0
+        while h in graph and (limit is None or pos < limit):
+            want.append((branch, pos, h))
+            h, pos = (graph[h] or [None])[0], pos + 1
+    assert got == sorted(want)

@@ -260,6 +260,21 @@ def test_column_added_and_retyped(spark):
     ]
 
 
+def test_nested_schema_diff(spark):
+    old = "id int, a struct<x:int,y:struct<p:string,q:int>>, l array<struct<u:int>>, m map<string,int>, s string"
+    new = "id int, a struct<x:bigint,y:struct<p:string,r:int>>, l array<struct<u:int,v:date>>, m map<string,array<int>>, s struct<t:int>"
+    empty = lambda schema: spark.createDataFrame([], schema)
+    got = {r[0]: tuple(r[1:]) for r in d.diff_schema(empty(new), empty(old)).collect()}
+    assert got == {
+        "a.x": ("retyped", "int", "bigint"), "a.y.q": ("removed", "int", None), "a.y.r": ("added", None, "int"),
+        "l[].v": ("added", None, "date"), "m{value}": ("retyped", "int", "array"), "m{value}[]": ("added", None, "int"),
+        "s": ("retyped", "string", "struct"), "s.t": ("added", None, "int"),
+    }
+    assert d.diff_schema(empty(old), empty(old)).isEmpty()
+    rows = spark.createDataFrame([(1, (5, None), [], {}, "x"), (2, None, None, None, None)], "id int, a struct<x:int,y:string>, l array<int>, m map<string,int>, s string")
+    assert {r["path"]: r["rows"] for r in d.filled_paths(rows).collect()} == {"id": 2, "a": 1, "a.x": 1, "a.y": 0, "l": 1, "m": 1, "s": 1}
+
+
 def test_composite_key_and_uniqueness(spark):
     a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "p int, q int, v string")
     b = spark.createDataFrame([(1, 1, "x"), (1, 2, "z"), (2, 1, "n")], "p int, q int, v string")

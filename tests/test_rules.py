@@ -49,17 +49,17 @@ def verdict(df, *bounds):
 def test_chain_verify(spark, chain_rows):
     assert verdict(entries(spark, chain_rows)) == (True, 201, None, None)
     bad = verdict(entries(spark, changed(chain_rows, 50, 1)))
-    assert bad == (False, 201, 50, "Entry 50 detail was tampered — dataHash mismatch")
+    assert bad == (False, 201, 50, "entry 50: its data hash does not fit its detail")
     bad = verdict(entries(spark, changed(chain_rows, 70, 3)))
-    assert bad == (False, 201, 70, "Entry 70 prevHash doesn't match entry 69 chainHash")
+    assert bad == (False, 201, 70, "entry 70 does not follow entry 69")
     bad = verdict(entries(spark, changed(chain_rows, 0, 4)))
-    assert bad[2:] == (0, "Genesis entry chainHash mismatch")
-    assert verdict(entries(spark, changed(chain_rows, 200, 4)))[2:] == (200, "Entry 200 chainHash mismatch")
+    assert bad[2:] == (0, "first entry: its chain hash is wrong")
+    assert verdict(entries(spark, changed(chain_rows, 200, 4)))[2:] == (200, "entry 200: its chain hash is wrong")
     assert verdict(entries(spark, chain_rows), 100, 150) == (True, 51, None, None)
     assert verdict(entries(spark, changed(chain_rows, 100, 3)), 100, 150)[0]
     assert verdict(entries(spark, changed(chain_rows, 0, 1)))[0]
     gap = [r for r in chain_rows if r[0] != 64]
-    assert verdict(entries(spark, gap))[2:] == (65, "Entry 65 prevHash doesn't match entry 63 chainHash")
+    assert verdict(entries(spark, gap))[2:] == (65, "entry 65 does not follow entry 63")
     assert a.chain_problems(entries(spark, changed(changed(chain_rows, 9, 1), 80, 1))).count() == 2
     assert verdict(entries(spark, []))[:2] == (True, 0)
 
@@ -83,7 +83,7 @@ def test_chain_export(spark, chain_rows):
     assert lines[0].startswith('0,write,main,amy,put,"say ""Audit chain initialized""",')
     assert lines[0].endswith(",2024-01-01T00:00:00.000Z")
     header = [r["line"] for r in a.export_header(a.chain_verify(df), "csv", "now").collect()]
-    assert header[1] == "# Chain Valid: false | Total Entries: 2"
+    assert header[1] == "# valid: false, entries: 2"
     assert header[2].startswith("sequence,entryType,branchName,actor")
     assert '"brokenAt":1' in a.export_header(a.chain_verify(df), "json", "now").collect()[0]["line"]
 

@@ -1,6 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plait.functions.canonical import table_digest
+from plait.sources.records import Records, Taken
+from plait.sources.requests import Requests
 from plait.sources.store import Store
 
 
@@ -167,3 +170,251 @@ def test_checkpoint_stash_reset_garbage(store):
     assert cleaned["branches"] == 1 and cleaned["folders"] >= 1
     assert store.garbage().isEmpty()
     assert store.table("main", "users").count() == 3
+
+
+def newest_change_rows(spark, store, table="users"):
+    logged = store._logged(None, table, None).orderBy(F.desc("seq")).first()
+    return store._change_sets(table, logged["keys"], logged["columns"], [logged["id"]])
+
+
+def test_editing_one_row_writes_one_row(spark, store):
+    before = store.branch("main").tables["users"]
+    store.update("main", "users", F.col("id") == 2, {"score": F.lit(21)}, by="amy")
+    after = store.branch("main").tables["users"]
+    assert after.base == before.base and len(after.deltas) == 1 and after.row_count == 3
+    assert newest_change_rows(spark, store).count() == 1
+    edit(store, "main", "id = 3", "score", 33)  # a whole table given, one row of it new
+    assert newest_change_rows(spark, store).count() == 1
+    assert rows(store.table("main", "users").select("id", "score")) == [(1, 10), (2, 21), (3, 33)]
+    last = store.position()
+    edit(store, "main", "id = 3", "score", 33)
+    assert store.position() == last  # nothing changed, nothing logged
+
+
+def test_versions_follow_a_plain_model(spark, store):
+    """Many writes across several bases: rows, counts and checksums stay those of the table."""
+    model = {1: ("Alice", "admin", 10), 2: ("Bob", "user", 20), 3: ("Cid", "user", 30)}
+    store.insert("main", "users", spark.range(10, 60).selectExpr("cast(id as int) id", "'n' name", "'r' role", "cast(id as int) score"))
+    model |= {i: ("n", "r", i) for i in range(10, 60)}
+    made = []
+    for i in range(20):
+        if i % 5 == 4:
+            store.delete("main", "users", F.col("id") == 10 + i)
+            model.pop(10 + i)
+        else:
+            store.update("main", "users", F.col("id") % 7 == i % 7, {"score": F.col("score") + 1})
+            model = {k: (*v[:2], v[2] + (k % 7 == i % 7)) for k, v in model.items()}
+        if i % 4 == 0:
+            made.append((store.commit("main", f"c{i}"), dict(model)))
+    want = sorted((k, *v) for k, v in model.items())
+    entry = store.branch("main").tables["users"]
+    assert rows(store.table("main", "users")) == want and entry.row_count == len(want)
+    assert len(entry.deltas) < 16 and entry.origin is not None
+    digest = table_digest(store.table("main", "users")).first()
+    assert (digest["row_count"], digest["checksum"]) == (entry.row_count, entry.checksum)
+    for value, old in made[::2]:
+        assert rows(store.read_at(value)["users"]) == sorted((k, *v) for k, v in old.items())
+    again = Store(spark, store.root)
+    assert rows(again.table("main", "users")) == want
+
+
+def test_log_of_writes_and_undo(spark, store):
+    store.create_branch("dev")
+    start = store.position()
+    store.update("dev", "users", F.col("role") == "user", {"score": F.col("score") * 2}, by="amy")
+    store.upsert("dev", "users", spark.createDataFrame([(3, "Cy"), (9, "New")], "id int, name string"), by="bea")
+    store.delete("dev", "users", F.col("id") == 1, by="amy")
+    store.insert("main", "items", spark.createDataFrame([(3, "cup", 9.0)], "id int, item string, price double"))
+    log = store.op_log("dev", "users").orderBy("seq", "key").collect()
+    assert [(r.op, r.key, r.performed_by) for r in log] == [
+        ("update", "2", "amy"), ("update", "3", "amy"), ("update", "3", "bea"), ("insert", "9", "bea"), ("delete", "1", "amy"),
+    ]
+    assert log[2].before == '{"id":3,"name":"Cid","role":"user","score":60}' and log[4].after is None
+    assert len({r.seq for r in log}) == 3 and all(r.seq > start for r in log)
+    assert store.op_log(after=store.position()).count() == 0
+    assert {r.table for r in store.op_log(after=start).collect()} == {"users", "items"}
+    assert store.table_log("dev", "users").where("after.score = 60").count() == 2
+    with pytest.raises(ValueError, match="exists"):
+        store.insert("dev", "users", store.table("dev", "users").limit(1))
+    store.undo("dev", "users", 2)
+    assert rows(store.table("dev", "users").select("id", "name", "score")) == [(1, "Alice", 10), (2, "Bob", 40), (3, "Cid", 60)]
+    assert store.op_log("dev", "users").where("action = 'undo'").count() == 3
+    store.undo("dev", "users", 1)  # an undo is a write like any other
+    assert store.table("dev", "users").count() == 3 and store.table("dev", "users").where("id = 9").count() == 1
+
+
+def test_merge_reads_changes_only(spark, store):
+    store.insert("main", "users", spark.range(100, 5100).selectExpr("cast(id as int) id", "'n' name", "'r' role", "1 score"))
+    store.commit("main", "many")
+    store.create_branch("dev")
+    store.update("dev", "users", F.col("id") == 200, {"score": F.lit(2)})
+    store.delete("dev", "users", F.col("id") == 201)
+    store.commit("dev", "d")
+    store.update("main", "users", F.col("id").isin(200, 202), {"role": F.lit("x")})
+    store.commit("main", "m")
+    src, tgt = store.branch("dev"), store.branch("main")
+    base = store._commit_row(store.common_ancestor("main", "dev"))["snapshot"]["users"]
+    from plait.sources import store as module
+
+    plans = store._plans({"users": module._entry(base)}, tgt.tables, src.tables)
+    assert plans["users"].rows.count() == 2  # of 5,003 keys
+    assert not [f for f in plans["users"].rows.inputFiles() if "/data/" in f]
+    done = store.merge("dev", "main")
+    assert (done["rows_modified"], done["rows_removed"], done["conflict_count"]) == (1, 1, 0)
+    assert newest_change_rows(spark, store).count() == 2
+    got = store.table("main", "users").where("id BETWEEN 199 AND 203").select("id", "role", "score")
+    assert rows(got) == [(199, "r", 1), (200, "x", 2), (202, "x", 1), (203, "r", 1)]
+
+
+def test_second_writer_looks_again(spark, store, monkeypatch):
+    """Another writer publishes between a writer's look at the store and its record."""
+    other = Store(spark, store.root)
+    create, turns = Records.create, []
+
+    def late(records, seq, record):
+        if records is store._records and not turns:
+            turns.append(seq)
+            other.update("main", "users", F.col("id") == 1, {"score": F.lit(11)})
+            other.update("main", "items", F.col("id") == 1, {"price": F.lit(9.5)})
+        create(records, seq, record)
+
+    monkeypatch.setattr(Records, "create", late)
+    store.update("main", "users", F.col("id") == 2, {"score": F.col("score") + 1})
+    assert rows(store.table("main", "users").select("id", "score")) == [(1, 11), (2, 21), (3, 30)]
+    assert rows(other.table("main", "items").select("price")) == [(3.0,), (9.5,)]
+    log = store.reflog().select("seq").collect()
+    assert len(log) == len({r.seq for r in log})
+    with pytest.raises(Taken):
+        create(store._records, turns[0], {"action": "again"})
+
+
+def test_merge_starts_anew_when_the_target_moves(spark, store, monkeypatch):
+    store.create_branch("dev")
+    store.update("dev", "users", F.col("id") == 1, {"score": F.lit(99)})
+    store.commit("dev", "d")
+    other, create, turns = Store(spark, store.root), Records.create, []
+
+    def late(records, seq, record):
+        if record["action"] == "merge" and not turns:
+            turns.append(seq)
+            other.update("main", "users", F.col("id") == 3, {"score": F.lit(31)})
+            other.commit("main", "meanwhile")
+        create(records, seq, record)
+
+    monkeypatch.setattr(Records, "create", late)
+    assert store.merge("dev", "main")["success"]
+    assert rows(store.table("main", "users").select("id", "score")) == [(1, 99), (2, 20), (3, 31)]
+    head = store.log("main").first()
+    assert head["message"] == 'Merge "dev" into "main"' and store.log("main").count() == 3
+
+
+def test_crash_before_the_record_changes_nothing(spark, store, monkeypatch):
+    store.create_branch("dev")
+    store.update("dev", "users", F.col("id") == 1, {"score": F.lit(99)})
+    store.commit("dev", "d")
+    last, create = store.position(), Records.create
+
+    def crash(records, seq, record):
+        raise OSError("the machine is gone")
+
+    monkeypatch.setattr(Records, "create", crash)
+    with pytest.raises(OSError):
+        store.merge("dev", "main")
+    with pytest.raises(OSError):
+        store.update("dev", "users", F.col("id") == 2, {"score": F.lit(0)})
+    monkeypatch.setattr(Records, "create", create)
+    fresh = Store(spark, store.root)
+    assert fresh.position() == last and fresh.branch("dev").status == "active"
+    assert rows(fresh.table("main", "users").select("score")) == [(10,), (20,), (30,)]
+    assert rows(fresh.table("dev", "users").select("score")) == [(20,), (30,), (99,)]
+    assert fresh.op_log("dev", "users").count() == 1  # the orphaned change set is in no record
+    assert fresh.merge("dev", "main")["success"]
+
+
+def test_opening_reads_a_saved_state(spark, store, monkeypatch):
+    monkeypatch.setattr("plait.sources.store.STATE_EVERY", 4)
+    for i in range(9):
+        store.create_branch(f"b{i}")
+    store.delete_branch("b0")
+    store.tag("v1", store.branch("b1").head_commit)
+    point = store.checkpoint("b2", "keep")
+    reads = []
+    read = Records._read
+    monkeypatch.setattr(Records, "_read", lambda r, p: reads.append(p) or read(r, p))
+    fresh = Store(spark, store.root)
+    assert fresh.branch("b8").parent == "main" and fresh.resolve_tag("v1")
+    assert len([p for p in reads if "/log/" in p]) <= 5
+    assert fresh.restore("b2", point)["tables_restored"] == 2
+    with pytest.raises(KeyError):
+        fresh.branch("b0")
+    assert fresh.delete_tag("v1") and not fresh.delete_tag("v1") and fresh.tags().count() == 0
+
+
+def test_compare_all_tables(spark, store):
+    store.create_branch("a")
+    store.create_branch("b", tables=["users"])
+    store.update("a", "users", F.col("id") == 1, {"score": F.lit(1)})
+    store.write("b", "extra", spark.createDataFrame([(1, "x")], "id int, v string"), ["id"])
+    got = {(r.table, r.key): (r.main, r.a, r.b) for r in store.compare_all(["main", "a", "b"]).collect()}
+    assert got[("users", "1")] == ("present", "modified", "present")
+    assert got[("items", "1")] == ("present", "present", "absent")
+    assert got[("extra", "1")] == ("absent", "absent", "present")
+
+
+def test_masked_branch(spark, store):
+    people = spark.createDataFrame([(1, ("a@b.cd", "Al")), (2, None)], "id int, who struct<mail:string,name:string>")
+    store.write("main", "people", people, ["id"])
+    counts = store.masked_branch("safe", {"people": {"who.mail": "redact", "who.none": "mask"}, "users": {"name": "hash", "score": "null"}})
+    assert counts == {"people": {"rows_changed": 1, "fields_changed": 1}, "users": {"rows_changed": 3, "fields_changed": 6}}
+    got = store.table("safe", "people").orderBy("id").collect()
+    assert got[0]["who"]["mail"] == "[REDACTED]" and got[0]["who"]["name"] == "Al" and got[1]["who"] is None
+    assert store.table("safe", "users").where("name = 'Alice' OR score IS NOT NULL").isEmpty()
+    assert store.table("safe", "items").count() == 2 and store.table("main", "users").where("name = 'Alice'").count() == 1
+    with pytest.raises(ValueError, match="nope"):
+        store.masked_branch("other", {"nope": {"x": "hash"}})
+
+
+def test_deploy_requests(spark, store):
+    asked = Requests(store)
+    store.create_branch("dev")
+    store.update("dev", "users", F.col("id") == 1, {"score": F.lit(99)})
+    store.commit("dev", "d")
+    id = asked.open("dev", "main", "raise a score", "amy")
+    assert asked.get(id)["changes"] == {"modified": 1}
+    with pytest.raises(ValueError, match="open"):
+        asked.open("dev", "main", "again", "bea")
+    with pytest.raises(ValueError, match="not approved"):
+        asked.execute(id)
+    asked.approve(id, "max")
+    store.update("dev", "users", F.col("id") == 2, {"score": F.lit(98)})
+    with pytest.raises(ValueError, match="source dev has moved on"):
+        asked.execute(id)
+    assert asked.get(id)["status"] == "approved" and asked.get(id)["reason"]
+    asked.reopen(id, "max")
+    store.commit("dev", "d2")
+    asked.approve(id, "max")
+    with pytest.raises(ValueError, match="refused: too late"):
+        asked.execute(id, gate=[(1, "hours", lambda rows: (False, "too late"))])
+    assert asked.execute(id)["rows_modified"] == 2
+    assert asked.get(id)["status"] == "merged" and store.log("main").first()["author"] == "max"
+    assert rows(store.table("main", "users").select("score")) == [(30,), (98,), (99,)]
+    with pytest.raises(ValueError, match="merged"):
+        asked.approve(id, "max")
+
+    store.create_branch("other")
+    store.update("other", "users", F.lit(True), {"score": F.lit(1)})
+    store.commit("other", "o")
+    store.update("main", "users", F.lit(True), {"score": F.lit(2)})
+    store.commit("main", "m")
+    second = asked.open("other", "main", "clash", "bea")
+    asked.approve(second, "max")
+    with pytest.raises(ValueError, match="users/1:score, users/2:score, users/3:score"):
+        asked.execute(second)
+    assert asked.get(second)["status"] == "approved" and store.branch("other").status == "active"
+    store.create_branch("third")
+    third = asked.open("third", "main", "no", "bea")
+    asked.reject(third, "max", "not now")
+    assert [r["status"] for r in asked.list().collect()] == ["rejected", "approved", "merged"]
+    assert asked.list("merged", "main").count() == 1
+    with pytest.raises(KeyError):
+        asked.get("none")
