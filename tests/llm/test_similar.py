@@ -304,6 +304,23 @@ def test_forest_cuts_leaves(spark, monkeypatch):
     assert len(sizes) == 19 * 20 / 2 and max(sizes) <= 120
 
 
+def test_forest_over_the_given_vectors(spark):
+    """The 2,000 given vectors and copies near the threshold of each fourth, in leaves of 64."""
+    rng = np.random.default_rng(5)
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    rows = [(r.vec_id, list(r.embedding)) for r in given]
+    for vec, v in rows[::4]:
+        noise = rng.standard_normal(len(v)) * np.linalg.norm(v) / np.sqrt(len(v))
+        rows.append((10_000 + vec, (np.array(v) + noise * rng.choice([0.05, 0.2, 0.3, 0.32])).tolist()))
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want, pairs = brute_links(rows)
+    got = {r.vec_id: r for r in forest.similar_vectors(e, leaf_rows=64).collect()}
+    assert len(rows) == 2500 and pairs > 400
+    assert all(got[v].n_links <= n for v, n, _ in want)
+    assert sum(r.n_links for r in got.values()) / 2 >= 0.95 * pairs
+    assert sum(got[v].component_id == c for v, _, c in want) >= 0.95 * len(want)
+
+
 def test_forest_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     want, _ = brute_links(rows)

@@ -92,6 +92,15 @@ def test_language_query(spark, sf):
     assert out > 50 and right >= 0.97 * out
 
 
+def test_language_ties_go_to_the_first_name(spark):
+    """Two languages with the same texts: both models code every text alike."""
+    teach = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    rows = [(i, "one and the same text", "zz" if n % 2 else "aa") for n, i in enumerate(teach)]
+    df = spark.createDataFrame(rows + [(1000, "same text and more", None)], "doc_id long, text string, lang string")
+    got = langid.identify(df).collect()
+    assert {r.lang_pred for r in got} == {"aa"} and all(abs(r.score - 0.5) < 1e-9 for r in got)
+
+
 def test_language_odd_rows(spark):
     rows = [(i, "the cat and the dog of the house", "en", 1.0) for i in range(30)]
     rows += [(100 + i, "le chat et le chien de la maison", "fr", 1.0) for i in range(30)]
@@ -246,6 +255,16 @@ def test_count_query(spark, sf):
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter([(1, 0), (None, 2), (1, 0), (1, 0)])
 
 
+def test_count_long_texts_and_empty_tables(spark):
+    model = public_tokenizer("piece_bpe_32k.model")
+    tok = unigram(tokencount.vocabulary(model))
+    texts = ["many words here. " * 60_000, "x" * 100_000, "ab" * 30_000 + " " + "é" * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: len(tok.encode(t).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in tokencount.token_counts(df, model).collect()} == want
+    assert tokencount.token_counts(df.where("false"), model).collect() == []
+
+
 # --- personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
