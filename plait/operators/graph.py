@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..session import written
 
@@ -89,7 +89,7 @@ def _doubled(first: DataFrame, start: DataFrame, covered: int, limit: int | None
 
 
 def ancestors(
-    commits: DataFrame, heads: DataFrame, max_depth: int | None = None, hops: int = 6
+    commits: DataFrame, heads: DataFrame, max_depth: int | None = None, hops: int = 8
 ) -> DataFrame:
     """All ancestors of each head: ``head, hash, depth``; safe on cycles.
 
@@ -139,19 +139,26 @@ class _Walk:
         )
         # Only heads that are still walked are looked up.
         seen = self.found().select("head", "hash").join(self.front.select("head").distinct(), "head", "left_semi")
-        newer = written(nearest.join(seen, ["head", "hash"], "left_anti"), "found")
-        self.parts.append(newer)
         self.covered += self.hops
-        self.front = newer.where(F.col("depth") == self.covered)
-        self.ended = self.front.isEmpty()
+        last = F.col("depth") == self.covered
+        newer, seen = _counted(nearest.join(seen, ["head", "hash"], "left_anti"), "found", F.count_if(last))
+        self.parts.append(newer)
+        self.front = newer.where(last)
+        self.ended = not seen
 
     def keep(self, heads: DataFrame) -> None:
         """Walk on from these heads only."""
         self.front = self.front.join(heads, "head", "left_semi")
-        self.ended = self.front.isEmpty()
 
 
-def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 6) -> DataFrame:
+def _counted(df: DataFrame, label: str, count: Column) -> tuple[DataFrame, int]:
+    """``df`` written, and a count taken in the same pass."""
+    watch = Observation()
+    out = written(df.observe(watch, count.alias("n")), label)
+    return out, watch.get["n"]
+
+
+def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 8) -> DataFrame:
     """Merge base of each pair ``a, b`` of commits: ``a, b, base, depth``.
 
     The base is the common ancestor (a head counts as its own) nearest to ``b``;
@@ -168,6 +175,7 @@ def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 6) -> Data
     walk = _Walk(commits, heads, hops)
     bases, open_ = [], pairs
     while True:
+        walk.advance()
         found = walk.found().select("head", "hash", "depth", "level")
         up = found.join(open_.select(F.explode(F.array("a", "b")).alias("head")).distinct(), "head", "left_semi")
         of_a = open_.join(up.select(F.col("head").alias("a"), "hash", F.lit(True).alias("met")), "a")
@@ -182,16 +190,13 @@ def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 6) -> Data
             F.min(F.when(F.col("met"), F.struct("depth", "hash"))).alias("m"),
             F.min(F.when(unsure, F.col("depth"))).alias("unsure"),
         )
-        judged = written(judged, "judged")
         sure = F.col("m").isNotNull() & (F.col("unsure").isNull() | (F.col("m.depth") < F.col("unsure")))
+        judged, left = _counted(judged, "judged", F.count_if(~sure))
         bases.append(judged.where(sure).select("a", "b", F.col("m.hash").alias("base"), F.col("m.depth").alias("depth")))
-        if walk.ended:
+        if walk.ended or not left:
             break
         open_ = judged.where(~sure).select("a", "b")
         walk.keep(open_.select(F.explode(F.array("a", "b")).alias("head")).distinct())
-        if walk.ended:
-            continue  # the nodes found so far decide the rest
-        walk.advance()
     return _union(bases)
 
 

@@ -278,9 +278,9 @@ def order_versions(spark, sf) -> dict[str, DataFrame]:
     return found
 
 
-_LIST = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+_LIST = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, o_orderdate"
 VERSIONS = f"""
-v0 AS (SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, o_orderpriority,
+v0 AS (SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, o_orderpriority, o_orderdate,
        year(o_orderdate) AS yr FROM orders),
 v1 AS (SELECT * REPLACE (CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'S' ELSE o_orderstatus END AS o_orderstatus) FROM v0),
 v2 AS (SELECT * REPLACE (CAST(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN o_totalprice + 100 ELSE o_totalprice END AS DECIMAL(18,2)) AS o_totalprice) FROM v1),
@@ -311,7 +311,7 @@ def t7_time(spark, sf):
 
 
 def _blame_sql() -> str:
-    fields = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    fields = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
     rows = " UNION ALL ".join(
         f"SELECT {pos} AS pos, o_orderkey, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM v{v}"
         for v, pos in ((5, 0), (4, 1), (3, 2), (2, 3), (1, 4), (0, 5))
@@ -352,7 +352,7 @@ _CHERRY = """SELECT coalesce(t.o_orderkey, n.o_orderkey) AS o_orderkey, {cols}
 
 
 def _cherry_sql(target: str, old: str, new: str) -> str:
-    fields = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    fields = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
     diff = "(" + " OR ".join(f"n.{f} IS DISTINCT FROM o.{f}" for f in fields) + ")"
     taken = f"n.o_orderkey IS NOT NULL AND (o.o_orderkey IS NULL OR {diff})"
     cols = ", ".join(f"CASE WHEN {taken} THEN n.{f} ELSE t.{f} END AS {f}" for f in fields)

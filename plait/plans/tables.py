@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- three branches of orders -------------------------------------------------
 
-ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
 KEYS = ["o_orderkey"]
 
 
@@ -38,6 +38,7 @@ def _edited(df: DataFrame, status: Column, price: Column, priority: Column) -> D
         status.alias("o_orderstatus"),
         price.cast(MONEY).alias("o_totalprice"),
         priority.alias("o_orderpriority"),
+        "o_orderdate",
     )
 
 
@@ -48,6 +49,7 @@ def _reissued(df: DataFrame, condition: Column, status: Column) -> DataFrame:
         status.alias("o_orderstatus"),
         "o_totalprice",
         "o_orderpriority",
+        "o_orderdate",
     )
 
 
@@ -80,8 +82,8 @@ def order_branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 ORDER_BRANCHES = """
 o AS (
   SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice,
-         o_orderpriority, year(o_orderdate) AS yr, month(o_orderdate) AS mon FROM orders),
-base AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM o),
+         o_orderpriority, o_orderdate, year(o_orderdate) AS yr, month(o_orderdate) AS mon FROM orders),
+base AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, o_orderdate FROM o),
 theirs AS (
   SELECT o_orderkey, o_custkey,
          CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'S'
@@ -90,20 +92,20 @@ theirs AS (
               ELSE o_orderstatus END AS o_orderstatus,
          CAST(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN o_totalprice + 100
               ELSE o_totalprice END AS DECIMAL(18,2)) AS o_totalprice,
-         o_orderpriority
+         o_orderpriority, o_orderdate
   FROM o WHERE NOT (o_orderpriority = '5-LOW' AND yr = 1998)
   UNION ALL
-  SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+  SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, o_orderdate
   FROM o WHERE yr = 2001 AND o_orderpriority = '1-URGENT'),
 ours AS (
   SELECT o_orderkey, o_custkey,
          CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'S' ELSE o_orderstatus END AS o_orderstatus,
          CAST(CASE WHEN o_orderpriority = '1-URGENT' AND yr = 1999 THEN o_totalprice + 50
               ELSE o_totalprice END AS DECIMAL(18,2)) AS o_totalprice,
-         CASE WHEN yr = 1998 AND o_orderstatus = 'F' THEN '9-OURS' ELSE o_orderpriority END AS o_orderpriority
+         CASE WHEN yr = 1998 AND o_orderstatus = 'F' THEN '9-OURS' ELSE o_orderpriority END AS o_orderpriority, o_orderdate
   FROM o WHERE NOT (o_orderpriority = '1-URGENT' AND yr = 2000)
   UNION ALL
-  SELECT -o_orderkey - 1, o_custkey, 'Z', o_totalprice, o_orderpriority
+  SELECT -o_orderkey - 1, o_custkey, 'Z', o_totalprice, o_orderpriority, o_orderdate
   FROM o WHERE yr = 2001 AND o_orderstatus = 'F')"""
 
 
@@ -113,7 +115,7 @@ ours AS (
 def customer_branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(main, branch) versions of customer."""
     c = table(spark, sf_dir, "customer")
-    main = c.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    main = c.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
     branch = main.where(
         ~((F.col("c_mktsegment") == "FURNITURE") & (F.col("c_nationkey") == 3))
     ).withColumn(
@@ -124,10 +126,10 @@ def customer_branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 CUSTOMER_BRANCHES = """
-cmain AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer),
+cmain AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal FROM customer),
 cbranch AS (
   SELECT c_custkey, c_name, c_nationkey,
-         CASE WHEN c_nationkey = 7 THEN 'ENERGY' ELSE c_mktsegment END AS c_mktsegment
+         CASE WHEN c_nationkey = 7 THEN 'ENERGY' ELSE c_mktsegment END AS c_mktsegment, c_acctbal
   FROM cmain WHERE NOT (c_mktsegment = 'FURNITURE' AND c_nationkey = 3))"""
 
 

@@ -24,21 +24,21 @@ def query(name: str, sql: str | None = None):
 
 
 def _customers(spark, sf) -> DataFrame:
-    return table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    return table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal")
 
 
-_C = "c AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer)"
+_C = "c AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, c_acctbal FROM customer)"
 KEY = ["c_custkey"]
 
 
 @query(
     "c1_insert",
-    f"WITH {_C} SELECT * FROM c UNION ALL SELECT -s_suppkey - 1, s_name, 'SUPPLY', s_nationkey FROM supplier",
+    f"WITH {_C} SELECT * FROM c UNION ALL SELECT -s_suppkey - 1, s_name, 'SUPPLY', s_nationkey, s_acctbal FROM supplier",
 )
 def c1(spark, sf):
     rows = table(spark, sf, "supplier").selectExpr(
         "-s_suppkey - 1 AS c_custkey", "s_name AS c_name", "'SUPPLY' AS c_mktsegment",
-        "s_nationkey AS c_nationkey",
+        "s_nationkey AS c_nationkey", "s_acctbal AS c_acctbal",
     )
     return c.insert(_customers(spark, sf), rows, KEY, seq=1)[0]
 
@@ -50,7 +50,7 @@ def c1(spark, sf):
 def c1_log(spark, sf):
     rows = table(spark, sf, "supplier").selectExpr(
         "-s_suppkey - 1 AS c_custkey", "s_name AS c_name", "'SUPPLY' AS c_mktsegment",
-        "s_nationkey AS c_nationkey",
+        "s_nationkey AS c_nationkey", "s_acctbal AS c_acctbal",
     )
     log = c.insert(_customers(spark, sf), rows, KEY, seq=1, by="amy")[1]
     return log.where("before IS NULL").select(
@@ -61,7 +61,7 @@ def c1_log(spark, sf):
 @query(
     "c2_update_one",
     f"""WITH {_C} SELECT c_custkey, c_name, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM c WHERE c_nationkey = 7)
-        THEN 'PICKED' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM c""",
+        THEN 'PICKED' ELSE c_mktsegment END AS c_mktsegment, c_nationkey, c_acctbal FROM c""",
 )
 def c2(spark, sf):
     return c.update(
@@ -160,7 +160,7 @@ def c7_date(spark, sf):
 @query(
     "c7_set_on_insert",
     """SELECT coalesce(c_custkey, s_suppkey) AS c_custkey, coalesce(s_name, c_name) AS c_name,
-       CASE WHEN c_custkey IS NULL THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_nationkey
+       CASE WHEN c_custkey IS NULL THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_nationkey, c_acctbal
        FROM (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') FULL OUTER JOIN supplier ON c_custkey = s_suppkey""",
 )
 def c7_insert(spark, sf):
@@ -294,10 +294,10 @@ def c9(spark, sf):
 
 @query(
     "c10_op_log",
-    f"WITH {LOG} SELECT seq, user_id, op, after FROM log WHERE user_id = 3 ORDER BY seq LIMIT 1000",
+    f"WITH {LOG} SELECT seq, user_id, op, after FROM log WHERE user_id = 3 ORDER BY seq",
 )
 def c10(spark, sf):
-    return c.op_log(account_log(spark, sf), F.col("user_id") == 3, limit=1000).select(
+    return c.op_log(account_log(spark, sf), F.col("user_id") == 3).select(
         "seq", "user_id", "op", F.col("after.balance").alias("after")
     )
 

@@ -55,7 +55,8 @@ def d2(spark, sf):
 
 
 _DIFFERENT = """(t.o_custkey IS DISTINCT FROM o.o_custkey OR t.o_orderstatus IS DISTINCT FROM o.o_orderstatus
-   OR t.o_totalprice IS DISTINCT FROM o.o_totalprice OR t.o_orderpriority IS DISTINCT FROM o.o_orderpriority)"""
+   OR t.o_totalprice IS DISTINCT FROM o.o_totalprice OR t.o_orderpriority IS DISTINCT FROM o.o_orderpriority
+   OR t.o_orderdate IS DISTINCT FROM o.o_orderdate)"""
 
 
 @query(
@@ -68,7 +69,7 @@ def d3(spark, sf):
 
 
 def _field_rows(new: str, old: str) -> str:
-    cols = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    cols = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
     return " UNION ALL ".join(
         f"""SELECT n.o_orderkey, '{c}' AS field, CAST(p.{c} AS VARCHAR) AS "from", CAST(n.{c} AS VARCHAR) AS "to"
             FROM {new} n JOIN {old} p USING (o_orderkey) WHERE n.{c} IS DISTINCT FROM p.{c}"""
@@ -204,7 +205,7 @@ def d11(spark, sf):
 
 # --- three-way and two-way merge --------------------------------------------------
 
-_COLS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+_COLS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
 
 
 def _diff3_sql() -> str:
@@ -238,7 +239,7 @@ _D3 = _diff3_sql()
 
 def _json(prefix: str) -> str:
     return (
-        f"""'{{"o_custkey":' || {prefix}_o_custkey || ',"o_orderpriority":"' || {prefix}_o_orderpriority || """
+        f"""'{{"o_custkey":' || {prefix}_o_custkey || ',"o_orderdate":"' || strftime({prefix}_o_orderdate, '%Y-%m-%dT%H:%M:%S.000') || '","o_orderpriority":"' || {prefix}_o_orderpriority || """
         f"""'","o_orderstatus":"' || {prefix}_o_orderstatus || '","o_totalprice":' || {prefix}_o_totalprice || '}}'"""
     )
 
@@ -464,7 +465,7 @@ def n2(spark, sf):
 # --- digests ------------------------------------------------------------------------
 
 _CUSTOMER_TEXT = (
-    """'{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || """
+    """'{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || """
     """'","c_nationkey":' || c_nationkey || '}'"""
 )
 
