@@ -94,20 +94,26 @@ def ancestors(
     """All ancestors of each head: ``head, hash, depth``; safe on cycles.
 
     The head itself has depth -1 and its parents depth 0; the smallest depth wins. A
-    round walks ``hops`` generations from the nodes the last one has ended at.
+    round walks twice ``hops`` generations from the nodes the last one has ended at.
     """
     walk = _Walk(commits, heads, hops)
     while not walk.ended and (max_depth is None or walk.covered < max_depth):
         walk.advance()
-    found = walk.found().select("head", "hash", "depth")
+    found = walk.found().groupBy("head", "hash").agg(F.min("depth").alias("depth"))
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
 class _Walk:
-    """Breadth-first walks from many heads, a few generations at a time."""
+    """Breadth-first walks from many heads, a few generations at a time.
+
+    ``found`` has every ancestor met so far, more than once where ways of different
+    length lead to it.
+    """
 
     def __init__(self, commits: DataFrame, heads: DataFrame, hops: int):
-        level = F.col("generation") if "generation" in commits.columns else F.lit(None)
+        # With generations no way leads back, so nodes met again need no second look.
+        self.layered = "generation" in commits.columns
+        level = F.col("generation") if self.layered else F.lit(None)
         commits = written(commits.select("hash", "parents", level.cast("long").alias("level")), "commits")
         known = commits.select(F.col("hash").alias("far"), "level")
         links = edges(commits).select("hash", F.col("parent").alias("far")).distinct()
@@ -115,36 +121,50 @@ class _Walk:
         self.links = written(links.join(known, "far").select("hash", F.struct("far", "level").alias("far")), "links")
         own = heads.select("hash").distinct().join(commits.select("hash", "level"), "hash")
         node = F.struct(F.col("hash").alias("far"), "level")
-        self.front = written(
-            own.select(F.col("hash").alias("head"), "hash", F.lit(-1).alias("depth"), "level", node.alias("node")), "found"
-        )
+        front = own.select(F.col("hash").alias("head"), "hash", F.lit(-1).alias("depth"), "level", node.alias("node"))
+        self.front = written(front, "found")
         self.parts, self.covered, self.hops, self.ended = [self.front], -1, hops, False
 
     def found(self) -> DataFrame:
         return _union(self.parts)
 
-    def advance(self) -> None:
-        links = self.links.select("hash", "far")
-        at = self.front.select("head", F.col("node").alias("p0"))
+    def _reached(self, front: DataFrame, covered: int) -> DataFrame:
+        """Nodes up to ``hops`` generations from ``front``, each at its least depth."""
+        at = front.select("head", F.col("node").alias("p0"))
         for i in range(self.hops):
-            step = links.select(F.col("hash").alias(f"__h{i}"), F.col("far").alias(f"p{i + 1}"))
+            step = self.links.select(F.col("hash").alias(f"__h{i}"), F.col("far").alias(f"p{i + 1}"))
             at = at.join(step, F.col(f"p{i}.far") == F.col(f"__h{i}"), "left").drop(f"__h{i}")
         path = F.array_compact(F.array(*[f"p{i + 1}" for i in range(self.hops)]))
         steps = at.select("head", F.posexplode(path).alias("i", "node"))
         nearest = steps.groupBy("head", F.col("node.far").alias("hash")).agg(
             F.min("i").alias("i"), F.any_value("node").alias("node")
         )
-        nearest = nearest.select(
-            "head", "hash", (F.col("i") + (self.covered + 1)).cast("int").alias("depth"), F.col("node.level").alias("level"), "node"
-        )
-        # Only heads that are still walked are looked up.
-        seen = self.found().select("head", "hash").join(self.front.select("head").distinct(), "head", "left_semi")
-        self.covered += self.hops
+        depth = (F.col("i") + (covered + 1)).cast("int").alias("depth")
+        return nearest.select("head", "hash", depth, F.col("node.level").alias("level"), "node")
+
+    def advance(self) -> None:
+        """Walk on twice as far as ways are followed one by one: in between they are joined."""
+        near = self._reached(self.front, self.covered)
+        middle = self.covered + self.hops
+        far = self._reached(near.where(F.col("depth") == middle), middle)
+        both = near.union(far)
+        if not self.layered:
+            both = self._new(both)
+        self.covered += 2 * self.hops
         last = F.col("depth") == self.covered
-        newer, seen = _counted(nearest.join(seen, ["head", "hash"], "left_anti"), "found", F.count_if(last))
+        newer, goes_on = _counted(both, "found", F.count_if(last))
         self.parts.append(newer)
         self.front = newer.where(last)
-        self.ended = not seen
+        self.ended = not goes_on
+
+    def _new(self, reached: DataFrame) -> DataFrame:
+        """Nodes not found before, each once, at the least depth; ways may lead back."""
+        once = reached.groupBy("head", "hash").agg(
+            F.min("depth").alias("depth"), F.any_value("level").alias("level"), F.any_value("node").alias("node")
+        )
+        # Only heads that are still walked are looked up.
+        seen = self.found().select("head", "hash").join(self.front.select("head").distinct(), "head", "left_semi")
+        return once.join(seen, ["head", "hash"], "left_anti")
 
     def keep(self, heads: DataFrame) -> None:
         """Walk on from these heads only."""
@@ -177,15 +197,20 @@ def common_ancestor(commits: DataFrame, pairs: DataFrame, hops: int = 8) -> Data
     while True:
         walk.advance()
         found = walk.found().select("head", "hash", "depth", "level")
-        up = found.join(open_.select(F.explode(F.array("a", "b")).alias("head")).distinct(), "head", "left_semi")
-        of_a = open_.join(up.select(F.col("head").alias("a"), "hash", F.lit(True).alias("met")), "a")
-        of_b = open_.join(up.withColumnRenamed("head", "b"), "b")
+        sides = F.explode(F.array(F.struct(F.col("a").alias("head"), F.lit(True).alias("mine")),
+                                  F.struct(F.col("b").alias("head"), F.lit(False).alias("mine"))))
+        met = open_.select("a", "b", sides.alias("s")).select("a", "b", "s.*").join(found, "head")
+        # All that concerns a pair in one place: one shuffle for both groupings.
+        nodes = met.repartition("a", "b").groupBy("a", "b", "hash").agg(
+            F.max("mine").alias("met"), F.min(F.when(~F.col("mine"), F.col("depth"))).alias("depth"), F.any_value("level").alias("level")
+        )
         # How high the walk from a still stands; null where it has ended.
         stands = walk.front.groupBy(F.col("head").alias("a")).agg(
             F.max(F.coalesce("level", F.lit((1 << 63) - 1))).alias("stands")
         )
-        both = of_b.join(of_a, ["a", "b", "hash"], "left").join(stands, "a", "left")
-        unsure = F.col("met").isNull() & (F.col("level").isNull() | (F.col("level") < F.col("stands"))) & F.col("stands").isNotNull()
+        both = nodes.where("depth IS NOT NULL").join(stands, "a", "left")
+        below = F.col("level").isNull() | (F.col("level") < F.col("stands"))
+        unsure = ~F.col("met") & below & F.col("stands").isNotNull()
         judged = both.groupBy("a", "b").agg(
             F.min(F.when(F.col("met"), F.struct("depth", "hash"))).alias("m"),
             F.min(F.when(unsure, F.col("depth"))).alias("unsure"),
