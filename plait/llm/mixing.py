@@ -93,7 +93,7 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     taken = points.join(
         ranges, (F.col("at") == F.col("cell")) & (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))
     ).select("slot", "source_no")
-    ranked = before(taken, ["source_no"], ["slot"], F.lit(1), "rank", F.shiftright("slot", 12))
+    ranked = before(taken, ["source_no"], ["slot"], F.lit(1), "rank", F.shiftright("slot", 10))
     held = taken.groupBy("source_no").agg(F.count("*").alias("held"))
     short = parts.join(held, "source_no", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     short = short.where("held < need").select(
