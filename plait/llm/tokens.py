@@ -24,11 +24,11 @@ KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # Words, and runs that they are put together from, held by one Python worker; beyond
 # that it starts anew.
-CACHED_WORDS = 2_000_000
-CACHED_UNITS = 400_000
+CACHED_WORDS = 1_000_000
+CACHED_UNITS = 200_000
 
 # Bytes of text that are looked up at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 # Any odd number does; equal sums are told apart by their bytes.
 BASE = 0x9E3779B97F4A7C15
