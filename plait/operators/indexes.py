@@ -5,15 +5,24 @@ Both are made once, kept up by change sets and read only where a search needs th
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.vectors import cosine
+from ..session import written
 from .search import BM25_B, BM25_K1, words
 
+# Rows and queries of a cell that one task scores.
+BLOCK_ROWS = 8192
+BLOCK_QUERIES = 4096
+
 
 class TextIndex:
     """Postings by term, document lengths and totals under a shared folder.
@@ -139,13 +148,129 @@ class VectorCells:
 
         ``queries`` has ``query`` (its key, never its own neighbour) and ``v``. A query
         meets the cells by their centres; a row that stands in two of its cells is met in
-        the first of them. The ``k`` best are kept per task before any shuffle.
+        the first of them. A cell's rows and the queries that probe it are dealt into
+        blocks of bounded size; a task scores one block of rows for one of queries and
+        hands on the ``k`` best of each query.
         """
         asked = queries.select("query", F.col("v").cast("array<double>").alias("__v"))
         asked = self._nearest(asked, probes).withColumn("cell", F.explode("__near"))
-        rows = self.spark.read.parquet(f"{self.path}/cells")
-        met = rows.join(asked, "cell").where(~F.col(self.key).eqNullSafe(F.col("query")))
-        met = met.where(~F.arrays_overlap("before", "__near"))
-        scored = met.select("query", self.key, F.round(cosine(F.col(self.vector), F.col("__v")), 9).alias("score"))
+        asked = written(asked.withColumn("no", F.monotonically_increasing_id()), "asked")
+        rows = self.spark.read.parquet(f"{self.path}/cells").withColumn("no", F.monotonically_increasing_id())
+        rows = rows.select("cell", "no", F.col(self.key).alias("key"), F.col(self.vector).alias("__v"), "before")
+        # One entry a cell: into how many blocks both sides are dealt.
+        sizes = written(_blocks(rows, BLOCK_ROWS, "blocks").join(_blocks(asked, BLOCK_QUERIES, "asks"), "cell"), "blocks")
+        tiles = sizes.agg(F.sum(F.col("blocks") * F.col("asks"))).first()[0] or 1
+        parts = tiles if tiles > 256 else 4 * tiles  # while they are few, few share a task
+
+        def dealt(df: DataFrame, own: str, other: str):
+            """Every row to one block of its side, and to all of the other side's."""
+            at, every = F.pmod(F.xxhash64("no"), F.col(own)), F.sequence(F.lit(0).cast("long"), F.col(other) - 1)
+            placed = df.join(sizes, "cell").withColumns({f"{own}_at": at, f"{other}_at": F.explode(every)})
+            placed = placed.drop("no", "blocks", "asks")
+            tile = ["cell", "blocks_at", "asks_at"]
+            return placed.repartition(parts, *tile).groupBy(*tile)
+
+        key = rows.schema["key"].dataType
+        own = F.col("query").try_cast(key).alias("own")
+        asked = asked.select("cell", "no", "query", own, "__v", "__near")
+        out = T.StructType([asked.schema["query"], T.StructField(self.key, key), T.StructField("score", T.DoubleType())])
+
+        def score(rows: pa.Table, asks: pa.Table) -> pa.Table:
+            asked, found, scores = _best(rows, asks, k)
+            return pa.table({"query": asks["query"].take(asked), out.names[1]: rows["key"].take(found), "score": scores})
+
+        met = dealt(rows, "blocks", "asks").cogroup(dealt(asked, "asks", "blocks")).applyInArrow(score, out)
+        scored = met.withColumn("score", F.round("score", 9))
         best = Window.partitionBy("query").orderBy(F.desc("score"), self.key)
         return scored.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k).drop("__r")
+
+
+def _blocks(df: DataFrame, most: int, name: str) -> DataFrame:
+    return df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("long").alias(name))
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as rows filled up with zeros, their lengths (null: -1), and whether they hold no null."""
+    lists = column.combine_chunks()
+    lengths = lists.value_lengths().fill_null(-1).to_numpy()
+    flat = lists.flatten()
+    there = np.arange(width)[None, :] < lengths[:, None]
+    out, null = np.zeros((len(lists), width)), np.zeros((len(lists), width), bool)
+    out[there] = flat.fill_null(0.0).to_numpy()
+    null[there] = flat.is_null().to_numpy(zero_copy_only=False)
+    return out, lengths, (lengths >= 0) & ~null.any(1)
+
+
+def _dots(a: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Inner products of rows with columns, added up dimension by dimension as ``cosine`` does."""
+    total = np.zeros((len(a), columns.shape[1]))
+    for x, y in zip(a.T, columns):
+        total += x[:, None] * y[None, :]
+    return total
+
+
+def _ninth(values: np.ndarray) -> np.ndarray:
+    """Billionths, rounded as Spark's ``round`` does: half away from zero on the decimal text. NaN is the largest."""
+    size = np.abs(values) * 1e9
+    whole = np.floor(size + 0.5)
+    for i in np.flatnonzero(np.abs(size - np.floor(size) - 0.5) < 1e-5).tolist():
+        text = Decimal(repr(abs(float(values[i]))))
+        whole[i] = float(text.scaleb(9).to_integral_value(ROUND_HALF_UP))
+    return np.where(np.isnan(values), np.inf, np.copysign(whole, values))
+
+
+def _best(rows: pa.Table, asks: pa.Table, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The ``k`` best rows of each query of one tile: places of both and unrounded cosines.
+
+    Ties go to the smaller key. A query without a whole vector has null scores.
+    """
+    asked, found, scores = [], [], []
+    if rows.num_rows and asks.num_rows:
+        order = pc.sort_indices(rows, sort_keys=[("key", "ascending")], null_placement="at_start")
+        rows = rows.take(order)
+        width = max(pc.max(pc.list_value_length(t["__v"])).as_py() or 0 for t in (rows, asks))
+        x, lengths, _ = _matrix(rows["__v"], width)
+        q, asked_lengths, whole = _matrix(asks["__v"], width)
+        keys = rows["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = keys.indices.to_numpy()
+        own = pc.index_in(asks["own"].combine_chunks(), value_set=keys.dictionary).fill_null(-1).to_numpy().copy()
+        own[asks["query"].is_valid().to_numpy() & asks["own"].is_null().to_numpy()] = -1
+        earlier = rows["before"].to_pylist()
+        known = np.full((len(x), max(1, max(map(len, earlier)))), -1)
+        for i, cells in enumerate(earlier):
+            known[i, : len(cells)] = cells
+        columns = np.ascontiguousarray(x.T)
+        with np.errstate(all="ignore"):
+            norms = np.sqrt(_own_dots(x)), np.sqrt(_own_dots(q))
+        near = asks["__near"].to_pylist()
+        for start in range(0, len(q), 8):
+            with np.errstate(all="ignore"):
+                norm = norms[0][None, :] * norms[1][start : start + 8, None]
+                values = np.where(norm == 0, np.nan, _dots(q[start : start + 8], columns) / norm)
+            for i, value in enumerate(values, start):
+                probed = np.zeros(max(known.max(), *near[i]) + 2, bool)
+                probed[near[i]] = True
+                met = np.flatnonzero((codes != own[i]) & ~probed[known].any(1))
+                if asked_lengths[i] >= 0 and (lengths[met] != asked_lengths[i]).any():
+                    raise ValueError("vectors differ in length")
+                if not whole[i]:
+                    best, cosines = met[:k], [None] * len(met[:k])
+                else:
+                    # A row below the k-th by more than the rounding is none of the best.
+                    ranked = np.where(np.isnan(value[met]), np.inf, value[met])
+                    if len(met) > k:
+                        fit = ranked >= np.partition(ranked, -k)[-k] - 1e-9
+                        met = met[fit]
+                    best = met[np.lexsort((met, -_ninth(value[met])))[:k]]
+                    cosines = value[best].tolist()
+                asked += [i] * len(best)
+                found += order.take(pa.array(best)).to_pylist()
+                scores += cosines
+    return pa.array(asked, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())
+
+
+def _own_dots(a: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(a))
+    for x in a.T:
+        total += x * x
+    return total

@@ -5,9 +5,10 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from plait.operators import changesets as cs, search as s
+from plait.functions.vectors import cosine
+from plait.operators import changesets as cs, indexes, search as s
 from plait.operators.indexes import TextIndex, VectorCells
 
 
@@ -87,3 +88,27 @@ def test_cells_of_odd_vectors(spark, tmp_path):
     asked = spark.createDataFrame([(0, [0.0, 0.0, 1.0]), (-1, [1.0, 1.0, 1.0])], "query long, v array<double>")
     got = index.search(asked, 3, probes=4).orderBy("query", F.desc("score"), "id").collect()
     assert [(r["query"], r["id"]) for r in got] == [(-1, 1), (-1, 16), (-1, 31), (0, 15), (0, 30), (0, 6)] and got[3]["score"] == 1.0
+
+
+def test_search_scores_blocks_of_rows_and_queries(spark, tmp_path, monkeypatch):
+    """Small blocks, copies, repeated and null keys and odd queries, against pairs scored one by one."""
+    monkeypatch.setattr(indexes, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(indexes, "BLOCK_QUERIES", 3)
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    rows += [(100 + i, rows[5][1]) for i in range(25)] + [(7, rows[7][1]), (8, rows[9][1]), (None, rows[3][1]), (None, rows[4][1])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = VectorCells(spark, str(tmp_path / "c"), "id", "v").build(df, cells=4)
+    some = [(i, rows[i][1]) for i in (3, 5, 7, 9, 20, 21)] + [(7, rows[11][1]), (None, rows[3][1]), (-1, None), (-2, [0.0] * 6), (-3, [1.0, None] * 3)]
+    asked = spark.createDataFrame(some, "query int, v array<double>")
+    pairs = df.join(asked.withColumnRenamed("v", "q"), ~F.col("id").eqNullSafe(F.col("query")))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    want = pairs.select("query", "id", F.round(cosine(F.col("v"), F.col("q")), 9).alias("score"))
+    want = want.withColumn("r", F.row_number().over(w)).where("r <= 10").drop("r")
+    got = index.search(asked, 10, probes=4)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # Pairs never become rows of Spark's.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+    with pytest.raises(Exception, match="differ in length"):
+        index.search(spark.createDataFrame([(3, [1.0])], "query int, v array<double>"), 10, probes=4).collect()
