@@ -49,18 +49,35 @@ def by_key(images: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return images.select(*[F.col("key")[k].alias(prefix + k) for k in keys], *[c for c in images.columns if c != "key"])
 
 
-def fold(base: DataFrame, stacked: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+def fold(base: DataFrame, stacked: DataFrame, keys: list[str], order: str = "ord", many: bool = False) -> DataFrame:
     """``base`` after the stacked change sets: the last image of each key counts.
 
     The base is only filtered by the changed keys, so where these are few enough to be
-    broadcast it is read once and not shuffled.
+    broadcast it is read once and not shuffled. With ``many`` of them nothing is broadcast.
     """
     last = stacked.groupBy("key").agg(F.max_by("after", order).alias("after"))
     known = by_key(last.select("key"), keys, "__c_")
-    kept = base.join(known, same_key(keys, "__c_"), "left_anti")
+    kept = base.join(known.hint("merge") if many else known, same_key(keys, "__c_"), "left_anti")
     return kept.unionByName(last.where("after IS NOT NULL").select("after.*").select(*base.columns))
 
 
+def fold_where(
+    base: DataFrame, stacked: DataFrame, keys: list[str], condition: Column, order: str = "ord", many: bool = False
+) -> DataFrame:
+    """The rows of :func:`fold` that meet a condition.
+
+    All images are filtered first; a hit counts where no later image has its key. So whole
+    images are neither grouped nor moved, only the keys of the change sets and the hits.
+    """
+    images = stacked.where("after IS NOT NULL").select("after.*", F.col(order).alias("__at"))
+    images = images.where(condition).dropDuplicates([*keys, "__at"])
+    hits = base.where(condition).withColumn("__at", F.lit(None).cast(images.schema["__at"].dataType)).unionByName(images)
+    later = by_key(stacked.select("key", order), keys, "__c_")
+    newer = F.col("__at").isNull() | (F.col(order) > F.col("__at"))
+    kept = hits.join(later.hint("merge") if many else later, same_key(keys, "__c_") & newer, "left_anti")
+    return kept.select(*base.columns)
+
+
 def overlay(current: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
     """The change set that gives ``images`` (``key, after``, unique) to a table.
 

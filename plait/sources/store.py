@@ -64,6 +64,9 @@ MAX_DEPTH = 5
 # Change sets over one base; beyond that, or beyond half its rows, a new base is written.
 CHANGES_PER_BASE = 16
 
+# Changed rows over a base beyond which their keys are shuffled and never broadcast.
+BROADCAST_KEYS = 100_000
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -294,11 +297,15 @@ class Store:
         place = F.array_position(F.array(*map(F.lit, ids)), F.col("change"))
         return self._change_sets(table, entry.keys, entry.columns, ids).withColumn("ord", place)
 
-    def _load(self, table: str, entry: Entry) -> DataFrame:
+    def _load(self, table: str, entry: Entry, condition: Column | None = None) -> DataFrame:
+        """The rows of a version, or those that meet a condition."""
         base = self.spark.read.schema(entry.schema).parquet(entry.base)
         if not entry.deltas:
-            return base
-        return cs.fold(base, self._stacked(table, entry, entry.deltas), entry.keys)
+            return base if condition is None else base.where(condition)
+        stacked, many = self._stacked(table, entry, entry.deltas), entry.changed > BROADCAST_KEYS
+        if condition is None:
+            return cs.fold(base, stacked, entry.keys, many=many)
+        return cs.fold_where(base, stacked, entry.keys, condition, many=many)
 
     def table(self, name: str, table: str) -> DataFrame:
         """A table as seen from a branch."""
@@ -414,7 +421,7 @@ class Store:
         """Set columns or nested fields where ``condition`` holds, or only in the lowest such key."""
 
         def make(e: Entry) -> DataFrame:
-            log = ch.update(self._load(table, e), condition, sets, e.keys, 0, by, one)[1]
+            log = ch.update(self._load(table, e, condition), F.lit(True), sets, e.keys, 0, by, one)[1]
             return cs.from_log(log, e.keys)
 
         return self._change(name, table, make, "update", by)
@@ -423,7 +430,7 @@ class Store:
         """Delete rows where ``condition`` holds, or only the one with the lowest key."""
 
         def make(e: Entry) -> DataFrame:
-            return cs.from_log(ch.delete(self._load(table, e), condition, e.keys, 0, by, one)[1], e.keys)
+            return cs.from_log(ch.delete(self._load(table, e, condition), F.lit(True), e.keys, 0, by, one)[1], e.keys)
 
         return self._change(name, table, make, "delete", by)
 
