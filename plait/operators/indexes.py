@@ -44,8 +44,17 @@ class TextIndex:
         split = df.select(F.col(self.key).alias("doc"), words(F.concat_ws(" ", *self.fields)).alias("w"))
         lengths = split.select("doc", F.size("w").cast("long").alias("n"))
         lengths.write.mode("error").parquet(f"{self.path}/lengths/gen={generation}")
-        counted = split.select("doc", F.explode("w").alias("term")).groupBy("doc", "term")
-        counted = counted.agg(F.count("*").alias("tf")).withColumn("bucket", self._bucket(F.col("term")))
+        # A text is one row, so its words are counted there: runs of the sorted words.
+        ordered = split.select("doc", F.array_sort("w").alias("w"))
+        starts = F.filter(
+            F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("at"))),
+            lambda s: (s["at"] == 0) | (s["term"] != F.get("w", s["at"] - 1)),
+        )
+        runs = ordered.select("doc", F.size("w").alias("n"), starts.alias("s"))
+        ends = F.transform("s", lambda s, i: F.struct(
+            s["term"].alias("term"), (F.coalesce(F.get("s", i + 1)["at"], F.col("n")) - s["at"]).cast("long").alias("tf")
+        ))
+        counted = runs.select("doc", F.inline(ends)).withColumn("bucket", self._bucket(F.col("term")))
         # Frequent terms spread over tasks: one part of a bucket per hash of the document.
         parts = counted.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8)))
         parts.sortWithinPartitions("bucket", "term").write.mode("error").partitionBy("bucket").parquet(
@@ -61,7 +70,13 @@ class TextIndex:
 
     def apply(self, changes: DataFrame, generation: int) -> None:
         """Keep up with a change set ``key, before, after`` (structs); generations count up."""
-        old = changes.where("before IS NOT NULL").select(F.col("key")[self.key].alias("doc"))
+        after = F.struct(*[F.col("after")[c].alias(c) for c in dict.fromkeys([self.key, *self.fields])])
+        # Read three times below, and what it is made from costs a shuffle of all texts.
+        changes = written(changes.select(
+            F.col("key")[self.key].alias("doc"), F.col("before").isNotNull().alias("had"),
+            F.when(F.col("after").isNotNull(), after).alias("after"),
+        ), "changes")
+        old = changes.where("had").select("doc")
         old.write.mode("error").parquet(f"{self.path}/replaced/gen={generation}")
         self._add(changes.where("after IS NOT NULL").select("after.*"), generation)
 

@@ -112,3 +112,42 @@ def test_search_scores_blocks_of_rows_and_queries(spark, tmp_path, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
     with pytest.raises(Exception, match="differ in length"):
         index.search(spark.createDataFrame([(3, [1.0])], "query int, v array<double>"), 10, probes=4).collect()
+
+
+def test_words_are_counted_where_the_text_is(spark, tmp_path):
+    """One shuffle for the layout of the postings, none for the counts; a repeated key adds up."""
+    docs = [(1, "b a b"), (1, "b c"), (2, None), (3, ""), (4, "x x x x")]
+    df = spark.createDataFrame(docs, "id long, a string")
+    index = TextIndex(spark, str(tmp_path / "index"), "id", ["a"], buckets=4)
+    shuffles, write = [], index._add
+    frames = type(df).repartition
+    try:
+        def seen(frame, *args):
+            shuffles.append(frame._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+            return frames(frame, *args)
+
+        type(df).repartition = seen
+        write(df, 0)
+    finally:
+        type(df).repartition = frames
+    assert shuffles == [0]
+    got = spark.read.parquet(f"{tmp_path}/index/postings").groupBy("doc", "term").agg(F.sum("tf").alias("tf")).collect()
+    assert {(r["doc"], r["term"]): r["tf"] for r in got} == {(1, "a"): 1, (1, "b"): 3, (1, "c"): 1, (4, "x"): 4}
+
+
+def test_a_change_set_is_worked_out_once(spark, tmp_path):
+    """However often it is read, what makes the changes runs once."""
+    df = spark.createDataFrame([(i, f"w{i}") for i in range(20)], "id long, a string")
+    index = TextIndex(spark, str(tmp_path / "index"), "id", ["a"], buckets=2).build(df)
+    calls = spark.sparkContext.accumulator(0)
+
+    def edited(text):
+        calls.add(1)
+        return text + " new"
+
+    new = df.withColumn("a", F.udf(edited, "string").asNondeterministic()("a"))
+    row = lambda side: F.struct("id", F.col(side).alias("a")).alias(side)
+    both = df.withColumnRenamed("a", "before").join(new.withColumnRenamed("a", "after"), "id")
+    index.apply(both.select(F.struct("id").alias("key"), row("before"), row("after")), 1)
+    assert calls.value == 20
+    assert index.search(["new"]).count() == 20 and index.search(["w3"]).count() == 1
