@@ -219,9 +219,6 @@ def r4(spark, sf):
     """Three handlers of a streamed feed, one of them failing in every batch."""
     store, base = _history(spark, sf)[0], fresh_path(spark, "handlers")
     log = store.op_log("dev").select(*[c.split()[0] for c in f.CHANGELOG.split(", ")])
-    for i, part in enumerate((log.where("seq <= 60"), log.where("seq > 60"))):
-        part.coalesce(1).write.parquet(f"{base}/log/part={i}")
-    changes = f.read_changes(spark, f"{base}/log/*", files_per_batch=1)
 
     def count(batch: DataFrame) -> None:
         batch.groupBy().count().write.mode("append").parquet(f"{base}/count")
@@ -233,7 +230,11 @@ def r4(spark, sf):
         raise ValueError("no such thing")
 
     handlers = {"count": count, "broken": broken, "keep": keep}
-    failures = f.run_handlers(f.change_feed(changes), handlers, f"{base}/checkpoint", f"{base}/failures")
+    # Each part is one batch, however many files its tasks have written.
+    for i, part in enumerate((log.where("seq <= 60"), log.where("seq > 60"))):
+        part.write.parquet(f"{base}/log/part={i}")
+        changes = f.read_changes(spark, f"{base}/log/*")
+        failures = f.run_handlers(f.change_feed(changes), handlers, f"{base}/checkpoint", f"{base}/failures")
     counted = spark.read.parquet(f"{base}/count").agg(F.sum("count").alias("rows_handled")).withColumn("handler", F.lit("count"))
     kept = spark.read.parquet(f"{base}/keep").agg(F.count("*").alias("rows_handled")).withColumn("handler", F.lit("keep"))
     done = counted.unionByName(kept)

@@ -133,3 +133,18 @@ def test_failing_handlers_are_listed(spark, tmp_path):
         ("broken", "ValueError: always")] * 3 + [("second", "KeyError: 'ten'")]
     again = f.run_handlers(f.change_feed(changes), handlers, str(tmp_path / "c"), str(tmp_path / "f"))
     assert again.count() == 4 and len(done) == 3
+
+
+def test_streamed_log_of_a_store_is_written_by_all_tasks(spark, sf, monkeypatch):
+    import glob
+
+    from plait.plans import histories
+
+    bases = []
+    fresh = histories.fresh_path
+    monkeypatch.setattr(histories, "fresh_path", lambda s, label: bases.append(fresh(s, label)) or bases[-1])
+    handled = {tuple(r) for r in histories.QUERIES["r4_handler_failures"](spark, sf).collect()}
+    assert {(r[0], r[3]) for r in handled} == {("broken", 2), ("count", 0), ("keep", 0)}
+    base = next(b for b in bases if "/handlers-" in b).removeprefix("file:")
+    for part in range(2):
+        assert len(glob.glob(f"{base}/log/part={part}/*.parquet")) > 1
