@@ -44,20 +44,25 @@ def _fields(image: str) -> Column:
     )
 
 
-def updated_fields(before: str = "before", after: str = "after") -> Column:
-    """Fields whose value is new or changed, as a map of texts."""
-    old = _fields(before)
+def _updated(old: Column, new: Column) -> Column:
     return F.map_filter(
-        _fields(after),
+        new,
         lambda k, v: ~F.map_contains_key(old, k) | ~F.element_at(old, k).eqNullSafe(v),
     )
 
 
+def _removed(old: Column, new: Column) -> Column:
+    return F.array_sort(F.array_except(F.map_keys(old), F.map_keys(new)))
+
+
+def updated_fields(before: str = "before", after: str = "after") -> Column:
+    """Fields whose value is new or changed, as a map of texts."""
+    return _updated(_fields(before), _fields(after))
+
+
 def removed_fields(before: str = "before", after: str = "after") -> Column:
     """Fields that are gone, sorted."""
-    return F.array_sort(
-        F.array_except(F.map_keys(_fields(before)), F.map_keys(_fields(after)))
-    )
+    return _removed(_fields(before), _fields(after))
 
 
 def change_feed(
@@ -67,6 +72,10 @@ def change_feed(
     if branch is not None:
         changes = changes.where(F.col("branch") == branch)
     changed = (F.col("op") == "update") | (F.col("op") == "replace")
+    both = changed & F.col("before").isNotNull()
+    old, new = F.col("__old"), F.col("__new")
+    # Columns of their own, parsed once a row: a lambda parses its images for every field.
+    changes = changes.withColumns({"__old": F.when(both, _fields("before")), "__new": F.when(both, _fields("after"))})
     columns = [
         "seq",
         F.col("op").alias("type"),
@@ -74,8 +83,8 @@ def change_feed(
         "table",
         "key",
         F.when(F.col("op") != DELETE, F.col("after")).alias("document"),
-        F.when(changed & F.col("before").isNotNull(), updated_fields()).alias("updated"),
-        F.when(changed & F.col("before").isNotNull(), removed_fields()).alias("removed"),
+        F.when(both, _updated(old, new)).alias("updated"),
+        F.when(both, _removed(old, new)).alias("removed"),
         "ts",
     ]
     if before_image:

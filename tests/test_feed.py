@@ -57,6 +57,15 @@ def test_update_description(spark):
     assert f.changed_since(df, "dev", 2) and not f.changed_since(df, "dev", 3)
 
 
+def test_images_are_parsed_once_a_row(spark, tmp_path):
+    log = str(tmp_path / "log")
+    publish(spark, log, 1, change(1, "update", "a", '{"x":1,"y":2}', '{"x":2,"z":3}'), change(2, "replace", "b", None, '{"x":1}'))
+    feed = f.change_feed(spark.read.schema(f.CHANGELOG).parquet(log), "dev")
+    plan = feed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
+    assert [(r["updated"], r["removed"]) for r in feed.orderBy("seq").collect()] == [({"x": "2", "z": "3"}, ["y"]), (None, None)]
+
+
 def test_saved_events(spark, tmp_path):
     log = str(tmp_path / "log")
     publish(spark, log, 1, *[change(i, "insert", str(i), None, "{}", hours=i) for i in range(5)])
